@@ -119,22 +119,39 @@ def judge(docs: DataFrame, common: dict[str, list[str]] = COMMON, **parameters:
     are the words of a language without a list; an empty table gives an empty result; other columns of the input are
     not read.
     """
-    cfg, width = DEFAULTS | parameters, max([len(x) for x in common.values()], default=0) + 1
+    found = measured(docs, common)
+    return verdict(settle(found.drop("text", "_words")), common, **parameters)
+
+
+def filter_documents(docs: DataFrame, common: dict[str, list[str]] = COMMON, **parameters: float) -> DataFrame:
+    """The documents that judge() keeps, with their texts: one light pass for the references, then one that filters.
+
+    Texts are never shuffled. Nulls, ties and empty tables as in judge().
+    """
+    kept = verdict(measured(docs, common), common, **parameters).where("kept")
+    return kept.select("doc_id", "text", "lang", "source", "n_chars")
+
+
+def measured(docs: DataFrame, common: dict[str, list[str]]) -> DataFrame:
     own = docs.select("doc_id", "text", "lang", "source", "n_chars", F.coalesce("lang", F.lit("\x00")).alias("_lang"))
-    found = statistics(own).withColumn("_common", common_counts(F.col("_words"), F.col("lang"), common))
-    narrow = settle(found.drop("text", "_words"))
+    return statistics(own).withColumn("_common", common_counts(F.col("_words"), F.col("lang"), common))
+
+
+def verdict(found: DataFrame, common: dict[str, list[str]], **parameters: float) -> DataFrame:
+    """Adds both distances, base_failed and kept to measured documents."""
+    cfg, width = DEFAULTS | parameters, max([len(x) for x in common.values()], default=0) + 1
     sums = [F.sum(F.get("_chars", F.lit(k))).alias(f"c{k}") for k in range(len(CLASSES))] + [F.sum(F.get("_common", F.lit(k))).alias(f"w{k}") for k in range(width)]
-    reference = narrow.groupBy("_lang").agg(*sums).select(
+    reference = found.groupBy("_lang").agg(*sums).select(
         "_lang", F.array(*[f"c{k}" for k in range(len(CLASSES))]).alias("_ref_chars"), F.filter(F.array(*[f"w{k}" for k in range(width)]), lambda x: x.isNotNull()).alias("_ref_words")
     )
-    judged = narrow.join(small(reference), "_lang")
+    judged = found.join(small(reference), "_lang")
     judged = judged.withColumn("char_distance", F.when(F.col("_n") >= cfg["min_chars"], distance(F.col("_chars"), F.col("_ref_chars"))).otherwise(F.lit(0.0)))
     known = F.col("_common").isNotNull() & (F.col("n_words") >= cfg["min_words"])
     judged = judged.withColumn("word_distance", F.when(known, distance(F.col("_common"), F.col("_ref_words"))).otherwise(F.lit(0.0)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = judged.withColumn("base_failed", failed)
-    verdict = ~failed & (F.col("char_distance") <= cfg["max_char_distance"]) & (F.col("word_distance") <= cfg["max_word_distance"])
-    return judged.withColumn("kept", verdict)
+    good = ~failed & (F.col("char_distance") <= cfg["max_char_distance"]) & (F.col("word_distance") <= cfg["max_word_distance"])
+    return judged.withColumn("kept", good)
 
 
 RESULT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]

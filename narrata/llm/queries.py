@@ -1,4 +1,4 @@
-"""The queries opN_<name> of the training-data operators and, where SQL can express one, its DuckDB SQL."""
+"""The queries opN_<name> of the training-data operators."""
 
 from __future__ import annotations
 
@@ -6,17 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from narrata.llm import quality_rules
+from narrata.llm import decontaminate, licenses, quality_rules, sharding
 from narrata.llm.common import table
+from narrata.llm.oracles import oracle_sql  # noqa: F401
+
+
+def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.digest(table(spark, folder, "documents"), n=16)
+
+
+def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.containment(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_key")
 
 
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents")).select(*quality_rules.RESULT)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_quality_rules,)}
+def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in (op5_sharding, op6_benchmark_decontamination, op7_quality_rules, op10_license_scan)}
