@@ -46,6 +46,19 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND dc <= {cfg["max_char_distance"]} AND dw <= {cfg["max_word_distance"]} AS kept FROM judged"""
 
 
+def near() -> str:
+    return rf"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(text), '{PLAIN}') AS ws FROM documents),
+g AS (SELECT r, i, array_to_string(ws[i:i + 4], ' ') AS s FROM w, unnest(range(1, greatest(2, len(ws) - 3))) AS u(i) WHERE len(ws) > 0),
+e AS MATERIALIZED (SELECT r, s, row_number() OVER (PARTITION BY r, s ORDER BY i) AS nth FROM g), n AS (SELECT r, count(*) AS n FROM e GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM e a JOIN e b ON a.s = b.s AND a.nth = b.nth AND a.r <> b.r GROUP BY ALL),
+l AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE c / (a.n + b.n - c) >= 0.8),
+reach AS (SELECT r AS x, r AS y FROM w UNION SELECT reach.x, l.y FROM reach JOIN l ON l.x = reach.y),
+c AS (SELECT x AS r, min(y) AS root FROM reach GROUP BY x)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY root) AS class_id, count(*) OVER (PARTITION BY root) AS class_size,
+  row_number() OVER (PARTITION BY root ORDER BY doc_id) = 1 AS kept FROM w JOIN c USING (r)"""
+
+
 def leaks() -> str:
     grams = rf"SELECT *, ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] || ' ' || ws[i+3] || ' ' || ws[i+4] AS g FROM (SELECT *, unnest(range(1, len(ws) - 3)) AS i FROM (SELECT *, regexp_extract_all(lower(text), '{PLAIN}') AS ws FROM %s))"
     return f"""
@@ -77,4 +90,4 @@ FROM w LEFT JOIN base USING (r) LEFT JOIN more USING (r)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_benchmark_decontamination": leaks(), "op7_quality_rules": quality(), "op10_license_scan": scanned()}
+    return {"op2_near_dedup": near(), "op6_benchmark_decontamination": leaks(), "op7_quality_rules": quality(), "op10_license_scan": scanned()}

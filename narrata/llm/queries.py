@@ -6,11 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from narrata.llm import decontaminate, licenses, quality_rules, sharding
+from narrata.llm import decontaminate, licenses, mixing, near_dedup, quality_rules, sharding
 from narrata.llm.common import table
 from narrata.llm.oracles import oracle_sql  # noqa: F401
 
 
+def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.Mix(table(spark, folder, "documents")).taken()
+
+
+def op2_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.classes(table(spark, folder, "documents")).drop("node")
+
+
 def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.digest(table(spark, folder, "documents"), n=16)
 
@@ -28,4 +36,4 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_sharding, op6_benchmark_decontamination, op7_quality_rules, op10_license_scan)}
+    return {f.__name__: f for f in (op1_mixing, op2_near_dedup, op5_sharding, op6_benchmark_decontamination, op7_quality_rules, op10_license_scan)}
