@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from narrata.llm import decontaminate, licenses, mixing, near_dedup, quality_rules, sharding
+from narrata.llm import decontaminate, licenses, mixing, near_dedup, quality_rules, sharding, token_counts, toxicity
 from narrata.llm.common import table
 from narrata.llm.oracles import oracle_sql  # noqa: F401
 
 
+#: A document is called toxic, or of good quality, from this score on.
+CUT = 0.3
+
+
+def remainder(n: int) -> Column:
+    """crc32 of the document's id as text, modulo n: tells rows that are held out from rows to learn from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
 def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.Mix(table(spark, folder, "documents")).taken()
 
@@ -31,9 +43,25 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents")).select(*quality_rules.RESULT)
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    grammar = toxicity.fit(docs, table(spark, folder, "labels"), remainder(4) != 2)
+    scored = toxicity.score(docs, grammar)
+    return scored.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals after the batch that inserts every document, and after the same batch came again."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="narrata-rollup-")
+    rollup = token_counts.Rollup(spark, f"{shared}/rollup-{uuid.uuid4().hex}")
+    for _ in range(2):
+        rollup.commit("documents", token_counts.inserts(table(spark, folder, "documents")))
+    return rollup.totals()
+
+
 def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_near_dedup, op5_sharding, op6_benchmark_decontamination, op7_quality_rules, op10_license_scan)}
+    return {f.__name__: f for f in (op1_mixing, op2_near_dedup, op5_sharding, op6_benchmark_decontamination, op7_quality_rules, op8_toxicity, op9_token_counts, op10_license_scan)}
