@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from narrata.llm import quality_rules
+from narrata.llm import decontaminate, mixing, near_dedup, quality_rules, sharding
 from narrata.llm.common import DOCUMENT, table
 
 
@@ -19,7 +19,33 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.filter_documents(docs).select(*DOCUMENT)
 
 
-STAGES = [("quality_rules", keep_good)]
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 2: one document of each group of near duplicates."""
+    return near_dedup.filter_documents(docs).select(*DOCUMENT)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 3: documents that hold no benchmark item."""
+    return decontaminate.filter_documents(docs, table(spark, sf_dir, "benchmark")).select(*DOCUMENT)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 4: documents as often, and with the words, that the mix takes."""
+    return mixing.Mix(docs).documents().select(*DOCUMENT)
+
+
+def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 5: documents with size, shard and slot."""
+    return sharding.assign(docs.select(*DOCUMENT), n=16)
+
+
+STAGES = [
+    ("quality_rules", keep_good),
+    ("near_dedup", drop_copies),
+    ("benchmark_decontamination", drop_leaks),
+    ("mixing", mix_sources),
+    ("sharding", cut_shards),
+]
 
 #: Pseudorandom mixing is no SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None

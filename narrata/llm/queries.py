@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm import decontaminate, licenses, mixing, near_dedup, quality_rules, sharding, token_counts, toxicity
+from narrata.llm import decontaminate, language_id, licenses, mixing, near_dedup, quality_model, quality_rules, sharding, token_counts, toxicity
 from narrata.llm.common import table
 from narrata.llm.oracles import oracle_sql  # noqa: F401
 
@@ -31,6 +31,19 @@ def op2_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.classes(table(spark, folder, "documents")).drop("node")
 
 
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = language_id.predict(docs, language_id.fit(docs, remainder(3) != 1))
+    return found.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = quality_model.fit(docs, table(spark, folder, "labels"), remainder(5) != 0)
+    scored = quality_model.score(docs, model)
+    return scored.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+
 def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.digest(table(spark, folder, "documents"), n=16)
 
@@ -64,4 +77,16 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_near_dedup, op5_sharding, op6_benchmark_decontamination, op7_quality_rules, op8_toxicity, op9_token_counts, op10_license_scan)}
+    found = (
+        op1_mixing,
+        op2_near_dedup,
+        op3_language_id,
+        op4_quality_classifier,
+        op5_sharding,
+        op6_benchmark_decontamination,
+        op7_quality_rules,
+        op8_toxicity,
+        op9_token_counts,
+        op10_license_scan,
+    )
+    return {f.__name__: f for f in found}
