@@ -1,0 +1,3 @@
+"""Queries; importing this package registers them all."""
+
+from narrata.plans import relational  # noqa: F401
