@@ -1,3 +1,3 @@
 """Queries; importing this package registers them all."""
 
-from narrata.plans import aggregates, relational  # noqa: F401
+from narrata.plans import aggregates, functions, relational  # noqa: F401
