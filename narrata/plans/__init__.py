@@ -1,3 +1,3 @@
 """Queries; importing this package registers them all."""
 
-from narrata.plans import aggregates, functions, graphs, relational, spans  # noqa: F401
+from narrata.plans import aggregates, functions, graphs, relational, resolution, spans  # noqa: F401
