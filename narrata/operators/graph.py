@@ -222,3 +222,16 @@ def primary_names(facets: DataFrame, mentions: DataFrame) -> DataFrame:
     ranked = names.withColumn("r", F.row_number().over(Window.partitionBy("node_id").orderBy(*order))).where("r = 1")
     every = facets.select("node_id").distinct()
     return every.join(ranked.select("node_id", F.col("content").alias("name")), "node_id", "left").fillna({"name": "Unknown Entity"})
+
+
+def check_allowed(labels: list[str] | None = None, edge_types: list[str] | None = None, properties: list[str] | None = None) -> None:
+    """Raises ValueError for a label, edge type or property name that may not appear in a query; runs before any plan."""
+    import re
+
+    known = {"StoryNode", "Character", "Location", "Event", "Concept", "Other", "NarrativeThread", "Facet", "CharacterState", "Arc"}
+    types = {*CAUSAL, *SYSTEM, "PARTICIPATES_IN", "LOCATED_AT", "PART_OF", "MEMBER_OF", "POSSESSES", "CONNECTED_TO", "OPPOSES", "ABOUT", "RELATED_TO"}
+    for what, given, allowed in (("label", labels, known), ("edge type", edge_types, types)):
+        if wrong := sorted(set(given or []) - allowed):
+            raise ValueError(f"unknown {what}: {', '.join(wrong)}")
+    if wrong := [p for p in properties or [] if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", p)]:
+        raise ValueError(f"invalid property name: {', '.join(wrong)}")

@@ -204,3 +204,10 @@ def test_calendar_and_streams(spark):
     assert us.buffered(log).count() == 501 and us.buffered(log.where("id <= 1000")).count() == 1000
     files = spark.createDataFrame([("text/html", "<b>a</b>&amp;b"), ("text/markdown", "# T\n*i*"), ("application/pdf", "x"), (None, None)], "mime string, body string")
     assert [r.plain for r in imported(files).collect()] == ["a &b", "T\ni", None, None]
+
+
+def test_allow_lists():
+    gr.check_allowed(["Character"], ["CAUSES", "HAS_FACET"], ["documentOrder"])
+    for bad in ({"labels": ["Robot"]}, {"edge_types": ["HATES"]}, {"properties": ["a b"]}):
+        with pytest.raises(ValueError):
+            gr.check_allowed(**bad)
