@@ -7,9 +7,10 @@ earliest point. Points come in order of time and a process stops once it is late
 weight costs its logarithm and most shingles a point or two.
 
 Signatures are cut in bands; documents with an equal band are compared by the exact overlap of their bags. Exact
-copies (equal words in equal order) are one node from the start. In each bucket all nodes are compared with one
-leader, for a few rounds with other leaders each time; then every pair of a bucket whose two nodes are not yet in
-one group is compared. So no link between groups is lost and a large group costs few comparisons.
+copies (equal words in equal order) are one node from the start. First all nodes of a bucket are compared with one
+leader, which differs between bands. The nodes of buckets that still hold more than one group are then compared
+with each other wherever an exact prefix filter allows a similarity that high and the groups differ. So no link
+between groups is lost, a large group costs few comparisons, and a passage that many documents share costs none.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +27,8 @@ from narrata.llm.common import BROADCAST_ROWS, NEAR, let, plain_words, settle, s
 
 #: A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8 ** 5) ** 30, which is 0.999993.
 BANDS, ROWS = 30, 5
-#: Rounds of comparing with one leader a bucket before the rest is compared pair by pair.
-LEADERS = 3
+#: Orders that pick the leaders, one for every so many bands: a node meets up to this many leaders in the first round.
+LEADERS = 4
 #: Shingles that the signature code holds in memory at a time; one longer document is taken alone.
 CHUNK = 400_000
 
@@ -121,8 +123,10 @@ def band_rows(bands: int, rows: int):  # noqa: ANN201
 
 
 def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow: a bag as a set of distinct numbers, one for each shingle and each time it occurs."""
+    """For mapInArrow: a bag as a set of distinct numbers, one for each shingle and each time it occurs, of rows whose
+    words are the node's."""
     for batch in batches:
+        batch = batch.filter(pc.equal(batch.column("node"), batch.column("own")))
         for first, end, values, lengths in chunks(list_column(batch, "h")):
             doc, feature, count = bags(values, lengths)
             at = np.repeat(np.arange(len(doc)), count)
@@ -168,6 +172,24 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def open_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of nodes (node, root, bag) of different roots that may be similar: the exact prefix filter.
+
+    Elements are ordered by how many of these bags have them. Two bags of similarity t share at least one element
+    among the first n - ceil(t * n) + 1 of each, so a passage that thousands of bags share makes no pairs.
+    """
+    each = nodes.select("node", "root", F.size("bag").alias("n"), F.explode("bag").alias("e"))
+    counts = each.groupBy("e").agg(F.count("*").alias("c"))
+    ordered = each.join(counts, "e").groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("c", "e"))).alias("o"))
+    prefix = F.slice("o", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
+    rare = settle(ordered.select("node", "root", "n", F.explode(prefix).alias("p")).where("p.c > 1").select("node", "root", "n", F.col("p.e").alias("e")))
+    mixed = rare.groupBy("e").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("e")
+    left = rare.join(mixed, "e")
+    right = left.select("e", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
+    met = left.join(right, "e").where((F.col("node") < F.col("x")) & (F.col("root") != F.col("rx")) & (F.least("n", "nx") >= threshold * F.greatest("n", "nx")))
+    return met.select(F.col("node").alias("a"), F.col("x").alias("b")).distinct()
+
+
 def similar(pairs: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
     """Of the pairs (a, b), those whose bags overlap by the threshold or more: exact weighted Jaccard similarity."""
     met = pairs.join(bag.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b").join(bag.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a")
@@ -192,32 +214,26 @@ def classes(docs: DataFrame, threshold: float = NEAR, bands: int = BANDS, rows:
     buckets = settle(every.join(shared, ["band", "hash"]))
     wanted = settle(buckets.select("node").distinct().join(nodes.select("node", "least"), "node"))
     marked = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    own = identified(docs).withColumnRenamed("node", "k").withColumnRenamed("doc_id", "d")
-    texts = own.join(marked, (own["k"] == marked["node"]) & own["d"].eqNullSafe(marked["least"])).select("node", shingle_bag(F.col("words")).alias("h"))
+    # By id first, so that words are cut only for the rows that are wanted; a row of the same id and other words drops out.
+    own = docs.select(F.col("doc_id").alias("d"), "text").join(marked, F.col("d").eqNullSafe(F.col("least")))
+    # The comparison waits for Python: in the plan it would become a join key and be computed for every row.
+    texts = own.select("node", plain_words(F.col("text")).alias("words")).select("node", node(F.col("words")).alias("own"), shingle_bag(F.col("words")).alias("h"))
     bag = settle(texts.mapInArrow(elements, "node bigint, bag array<bigint>").groupBy("node").agg(F.first("bag").alias("bag")))
-    edges, roots = None, None
-    for turn in range(LEADERS + 1):
-        now = buckets if roots is None else buckets.join(roots, "node", "left")
-        now = now.withColumn("root", F.col("node") if roots is None else F.coalesce("root", "node"))
-        split = now.groupBy("band", "hash").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(turn))).alias("lead"), (F.min("root") != F.max("root")).alias("open")).where("open")
-        if turn < LEADERS:
-            pairs = now.join(split, ["band", "hash"]).where(F.col("root") != F.col("lead.root")).select(F.col("lead.node").alias("x"), F.col("lead.n").alias("nx"), F.col("node").alias("y"), "n")
-        else:
-            left = now.join(split.select("band", "hash"), ["band", "hash"])
-            right = left.select("band", "hash", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-            pairs = left.join(right, ["band", "hash"]).where((F.col("node") < F.col("x")) & (F.col("root") != F.col("rx"))).select("x", "nx", F.col("node").alias("y"), "n")
-        near = F.least("n", "nx") >= threshold * F.greatest("n", "nx")
-        pairs = settle(pairs.where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        if not pairs.head(1):
-            if turn == LEADERS:
-                break
-            continue
-        new = settle(similar(pairs, bag, threshold))
-        edges = new if edges is None else edges.unionByName(new)
-        roots = components(edges)
+    near = F.least("n", "nx") >= threshold * F.greatest("n", "nx")
+    ends = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
+    lead = buckets.groupBy("band", "hash").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node", F.col("band") % LEADERS)).alias("lead"))
+    met = buckets.join(lead, ["band", "hash"]).select(F.col("lead.node").alias("x"), F.col("lead.n").alias("nx"), F.col("node").alias("y"), "n")
+    edges = settle(similar(met.where(F.col("x") != F.col("y")).where(near).select(*ends).distinct(), bag, threshold))
+    roots = components(edges)
+    rooted = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = rooted.groupBy("band", "hash").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("band", "hash")
+    left = settle(rooted.join(split, ["band", "hash"]).select("node", "root").distinct().join(bag, "node"))
+    rest = open_pairs(left, threshold)
+    more = settle(similar(rest, bag, threshold))
+    if more.head(1):
+        roots = components(edges.unionByName(more))
     first = F.min(F.struct(F.col("least").isNull(), "least", "node")).alias("top")
-    rooted = nodes.select("node", "least", "copies") if roots is None else nodes.select("node", "least", "copies").join(roots, "node", "left")
-    rooted = rooted.withColumn("root", F.col("node") if roots is None else F.coalesce("root", "node"))
+    rooted = nodes.select("node", "least", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     tops = rooted.groupBy("root").agg(first, F.sum("copies").alias("class_size"))
     by_node = rooted.join(tops, "root").select(F.col("node").alias("_node"), F.col("top.least").alias("class_id"), F.col("top.node").alias("top_node"), "class_size")
     alone = F.col("node").isNull()
