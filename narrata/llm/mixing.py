@@ -136,7 +136,8 @@ class Mix:
         spans = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / self.block), last))
         each = self.placed.withColumn("block", F.explode_outer(spans))
         each = each.withColumn("first", F.greatest(F.lit(0), F.col("block") * self.block - F.col("start"))).withColumn("end", F.least(F.col("size"), (F.col("block") + 1) * self.block - F.col("start")))
-        return each.join(self.times(), ["sid", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+        # The planner takes the slots for as few as the plan's rows and would broadcast them; they grow with the corpus.
+        return each.join(self.times().hint("merge"), ["sid", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
 
     def taken(self) -> DataFrame:
         """One row a document: doc_id, size, source_size, target and taken, the words that the mix takes from it."""
