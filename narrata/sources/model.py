@@ -33,12 +33,12 @@ VIEWS: dict[str, str] = {
     "edges": """SELECT min(l_orderkey) AS id, src, dst, edge_type, CAST(max(l_discount) AS DOUBLE) AS strength, min(gone) = 1 AS deleted FROM (
       SELECT l_orderkey, CASE WHEN l_orderkey % 29 = 0 THEN l_partkey + 50 * l_linenumber ELSE l_partkey END AS src, CASE WHEN l_orderkey % 29 = 0 THEN l_partkey ELSE l_partkey + 50 * l_linenumber END AS dst,
         split_part('CAUSES|ENABLES|PREVENTS|HAPPENS_BEFORE|PARTICIPATES_IN|LOCATED_AT|HAS_FACET|BELONGS_TO_THREAD', '|', CAST((l_suppkey + l_linenumber) % 8 AS INT) + 1) AS edge_type, l_discount,
-        CASE WHEN l_orderkey % 19 = 0 THEN 1 ELSE 0 END AS gone FROM lineitem WHERE l_orderkey % 6 = 0) AS e
+        CASE WHEN l_orderkey % 19 = 0 THEN 1 ELSE 0 END AS gone FROM lineitem) AS e
       WHERE src IN (SELECT p_partkey FROM part) AND dst IN (SELECT p_partkey FROM part) GROUP BY src, dst, edge_type""",
     "facets": """SELECT l_orderkey * 8 + l_linenumber AS id, l_partkey AS node_id, split_part('name|appearance|trait|state', '|', CAST(l_suppkey % 4 AS INT) + 1) AS kind,
-      concat(l_returnflag, l_linestatus, CAST(l_quantity AS INT)) AS content, CAST(l_shipdate AS DATE) AS made FROM lineitem WHERE l_orderkey % 4 = 0""",
+      concat(l_returnflag, l_linestatus, CAST(l_quantity AS INT)) AS content, CAST(l_shipdate AS DATE) AS made FROM lineitem""",
     "mentions": """SELECT l_orderkey * 8 + l_linenumber AS id, l_partkey AS node_id, l_partkey % 50 AS document_id, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_orderkey * 8 + l_linenumber END AS facet_id, l_suppkey % 40 AS segment,
-      CAST(l_quantity AS INT) AS start_at, CAST(l_quantity AS INT) + 1 + l_linenumber AS end_at, CAST(l_discount * 1000 AS INT) AS confidence, l_returnflag AS source, l_tax > 0.06 AS is_key, CAST(l_shipdate AS DATE) AS made FROM lineitem WHERE l_orderkey % 4 = 0""",
+      CAST(l_quantity AS INT) AS start_at, CAST(l_quantity AS INT) + 1 + l_linenumber AS end_at, CAST(l_discount * 1000 AS INT) AS confidence, l_returnflag AS source, l_tax > 0.06 AS is_key, CAST(l_shipdate AS DATE) AS made FROM lineitem""",
     "segments": """SELECT p_partkey % 50 AS document_id, p_partkey AS id, CAST((p_partkey - p_partkey % 50) / 50 AS INT) AS idx, CAST((p_partkey - p_partkey % 50) / 50 AS INT) * 20 AS start_at,
       CAST((p_partkey - p_partkey % 50) / 50 AS INT) * 20 + 20 AS end_at, p_name AS body FROM part""",
     "states": """SELECT s_suppkey AS id, s_suppkey % 9 AS character_id, CAST(s_suppkey AS INT) * 3 AS document_order, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE s_name END AS reason, CASE WHEN s_acctbal > 0 THEN 'gain' ELSE 'loss' END AS phase FROM supplier""",
