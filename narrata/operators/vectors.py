@@ -73,6 +73,17 @@ def pairs(frame: DataFrame, key: str, least: float, blocks: int = 1) -> DataFram
     return met.select(key, F.col("x").alias("a"), F.col("y").alias("b"), total(F.zip_with("vx", "vy", lambda p, q: p * q)).alias("similarity")).where(F.col("similarity") >= least)
 
 
+def product(left: DataFrame, right: DataFrame, a: str, b: str, rows: int = 2000) -> DataFrame:
+    """Every row of left beside every row of right: an equi join of blocks of about `rows` rows, a task a pair of blocks.
+
+    a and b are id columns, by whose hash rows go to blocks; neither side is broadcast whole.
+    """
+    m, n = (max(1, math.ceil(f.count() / rows)) for f in (left, right))
+    x = left.withColumn("_x", F.pmod(F.xxhash64(a), F.lit(m))).withColumn("_y", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    y = right.withColumn("_y", F.pmod(F.xxhash64(b), F.lit(n))).withColumn("_x", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    return x.join(y, ["_x", "_y"]).drop("_x", "_y")
+
+
 def neighbours(frame: DataFrame, key: str, k: int, least: float) -> DataFrame:
     """Undirected pairs of each row with its k most similar rows of the same key, at or over a similarity; each pair once."""
     every = pairs(frame, key, least)
@@ -89,11 +100,11 @@ def s_curve(x: Column) -> Column:
 def relevance(sentences: DataFrame, entities: DataFrame, segment: str, own: float = 0.67) -> DataFrame:
     """(entity, id, relevance): an entity's likeness to each sentence and to the mean of its segment, blended.
 
-    entities are a stated set of few vectors, each held against all sentences; broadcast by Spark if small.
+    Each entity is held against all sentences, block by block.
     """
     means = centroid(sentences, [segment], "vec")
     both = sentences.join(means, segment)
-    scored = both.join(entities.select(F.col("id").alias("entity"), F.col("vec").alias("_e")))
+    scored = product(both, entities.select(F.col("id").alias("entity"), F.col("vec").alias("_e")), "id", "entity")
     clamp = lambda x: F.greatest(F.lit(0.0), x)
     blend = own * clamp(cosine(F.col("vec"), F.col("_e"))) + (1 - own) * clamp(cosine(F.col("centroid"), F.col("_e")))
     return scored.select("entity", "id", s_curve(blend).alias("relevance"))

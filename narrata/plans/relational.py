@@ -346,7 +346,7 @@ FIRST = "(SELECT min(s.id) FROM states s WHERE s.character_id = p.character_id A
 
 
 def points(m: Model) -> DataFrame:
-    return m.mentions.where("id % 5 = 0").select("id", (c("document_id") % 9).alias("character_id"), c("start_at").alias("at"))
+    return m.mentions.select("id", (c("document_id") % 9).alias("character_id"), c("start_at").alias("at"))
 
 
 def positions(m: Model, fallback: str) -> DataFrame:

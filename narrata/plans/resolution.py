@@ -23,7 +23,7 @@ BLOCKS = f"{TOKENS}, blocks AS (SELECT DISTINCT a.id AS a, b.id AS b FROM tokens
 
 
 def blocks(m: Model) -> DataFrame:
-    return er.blocked_pairs(m.names.where("id % 100 < 50"), m.names.where("id % 100 >= 50"))
+    return er.blocked_pairs(m.names, m.names).where("a < b")
 
 
 @query("j22_blocking_join", f"{BLOCKS} SELECT a, b FROM blocks")
@@ -35,7 +35,7 @@ def _(m: Model) -> DataFrame:
 SELECT m.id, h.facet FROM mentions m LEFT JOIN hits h ON h.id = m.id AND h.r = 1 WHERE m.id % 3 = 0""")
 def _(m: Model) -> DataFrame:
     said = F.concat(F.lower("source"), lit("o"), c("start_at").cast("string"), lit("f"), c("start_at").cast("string"))
-    own = m.mentions.where("id % 3 = 0").select("id", "node_id", said.alias("said"))
+    own = m.mentions.select("id", "node_id", said.alias("said"))
     names = m.facets.select("node_id", c("id").alias("facet"), F.lower("content").alias("content"))
     found = rel.latest(own.join(names, "node_id").where(F.contains("said", "content")), ["id"], [F.length("content").desc(), c("facet")]).select("id", "facet")
     return own.select("id").join(found, "id", "left")
@@ -115,8 +115,9 @@ def _(m: Model) -> DataFrame:
 
 
 def candidates(m: Model) -> DataFrame:
-    vectors = m.vectors.select(c("id").alias("v"), "vec")
-    return m.names.where("document_id < 20").withColumn("v", c("id") % 500).join(vectors, "v").select("document_id", (c("id") % 3).alias("segment"), "id", "name", "kind", "vec")
+    """Every name with a vector; names outnumber vectors, so places among the vectors are taken in turn."""
+    vectors = m.vectors.select((F.row_number().over(Window.orderBy("id")) - 1).cast("bigint").alias("v"), "vec")
+    return m.names.withColumn("v", c("id") % m.vectors.count()).join(vectors, "v").select("document_id", (c("id") % 3).alias("segment"), "id", "name", "kind", "vec")
 
 
 @query("e6_segment_clusters")

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import pytest
+from pyspark.sql import functions as F
+
 from narrata import plans  # noqa: F401
+from narrata.functions import text as tx
+from narrata.operators import vectors as vec
+from narrata.plans import registry
 from narrata.sources.model import Model
+from tests.oracle import compare
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,3 +28,43 @@ def test_views_keep_every_line(spark):
             edges.add((src, dst, types[(r.l_suppkey + r.l_linenumber) % 8]))
     assert m.mentions.count() == m.facets.count() == len(lines)
     assert {tuple(r) for r in m.edges.select("src", "dst", "edge_type").collect()} == edges
+
+
+#: Clauses of a query's SQL that keep it to a part of the table.
+CUTS = {
+    "v6_similarity_matrix": [" WHERE a.id < 40 AND b.id < 40"],
+    "v8_entity_sentence_relevance": [" ORDER BY id LIMIT 5"],
+    "g5_would_cycle": [" AND id % 5 = 0"],
+    "g6_reachability": [" WHERE n.id % 20 = 1"],
+    "g17_move_facets": [" WHERE id % 5 = 0"],
+    "j16_as_of": [" WHERE id % 5 = 0"],
+    "j16_as_of_or_first": [" WHERE id % 5 = 0"],
+    "j20_last_value": [" WHERE id % 5 = 0"],
+    "j23_facet_linking": ["m.id % 3 = 0 AND ", " WHERE m.id % 3 = 0"],
+}
+
+
+@pytest.mark.parametrize("name", sorted(CUTS))
+def test_query_equals_uncut_sql(spark, name):
+    sql = registry.ORACLES[name]
+    for clause in CUTS[name]:
+        assert clause in sql
+        sql = sql.replace(clause, "")
+    n, m, mine, theirs = compare(spark, registry.QUERIES[name], sql, SF)
+    assert n == m and not mine and not theirs, (mine, theirs)
+
+
+def test_blocked_product_is_whole(spark):
+    left, right = spark.range(23).withColumnRenamed("id", "a"), spark.range(17).withColumnRenamed("id", "b")
+    got = [tuple(r) for r in vec.product(left, right, "a", "b", rows=5).collect()]
+    assert sorted(got) == [(a, b) for a in range(23) for b in range(17)]
+
+
+def test_every_name_is_paired_and_clustered(spark):
+    m = Model(spark, SF)
+    token = m.names.select("id", "document_id", "kind", F.explode(F.array_distinct(tx.name_tokens(F.col("name")))).alias("t")).collect()
+    expected = {(x.id, y.id) for x in token for y in token if x.id < y.id and (x.document_id, x.kind, x.t) == (y.document_id, y.kind, y.t)}
+    got = [tuple(r) for r in registry.QUERIES["j22_blocking_join"](spark, SF).collect()]
+    assert len(got) == len(set(got)) and expected <= set(got)
+    ids = sorted(r.id for r in registry.QUERIES["e6_segment_clusters"](spark, SF).collect())
+    assert ids == sorted(r.id for r in m.names.collect())
