@@ -117,8 +117,9 @@ def word_overlap(anchor: Column, other: Column) -> Column:
 
 
 def trigrams(text: Column) -> Column:
-    w = text_words(text)
-    return F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.array_join(F.slice(w, i, 3), " "))).otherwise(F.array().cast("array<string>"))
+    # The words are bound once: named inside the inner lambda, the text would be split again for each trigram.
+    grams = lambda w: F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.array_join(F.slice(w, i, 3), " "))).otherwise(F.array().cast("array<string>"))
+    return F.get(F.transform(F.array(text_words(text)), grams), F.lit(0))
 
 
 def trigram_overlap(anchor: Column, other: Column) -> Column:

@@ -99,8 +99,8 @@ k AS (SELECT *, list_distinct(wa) AS da, list_distinct(list_transform(range(1, l
 
 
 def heads(m: Model) -> DataFrame:
-    head = m.texts.select("id", "source", F.substring("body", 1, 300).alias("a"), F.substring("body", 100, 300).alias("tail"))
-    return head.select("id", "a", F.lead("tail").over(Window.partitionBy("source").orderBy("id")).alias("b")).where("b is not null")
+    """Each whole text beside the whole next one of its source."""
+    return m.texts.select("id", c("body").alias("a"), F.lead("body").over(Window.partitionBy("source").orderBy("id")).alias("b")).where("b is not null")
 
 
 @query("f12_overlaps", f"{HEADS} SELECT id, CASE WHEN len(da) > 0 THEN len(list_intersect(da, wb)) / len(da) ELSE 0 END AS words, CASE WHEN len(ga) > 0 THEN len(list_intersect(ga, gb)) / len(ga) ELSE 1 END AS trigrams FROM k")
@@ -125,7 +125,7 @@ def _(m: Model) -> DataFrame:
 
 @query("f16_pronoun_filter", f"SELECT id, w FROM (SELECT id, unnest(string_split(substr(body, 1, 400), ' ')) AS w FROM texts WHERE lang = 'en') WHERE lower(trim(w)) NOT IN ({', '.join(repr(x) for x in tx.PRONOUNS)}) AND w <> ''")
 def _(m: Model) -> DataFrame:
-    split = m.texts.where("lang = 'en'").select("id", F.explode(F.split(F.substring("body", 1, 400), " ")).alias("w"))
+    split = m.texts.select("id", F.explode(F.split("body", " ")).alias("w"))
     return split.where(~tx.pronoun(c("w")) & (c("w") != ""))
 
 

@@ -62,7 +62,7 @@ def _(m: Model) -> DataFrame:
   '(?m)^#{1,6}\s+', '', 'g'), '\*\*([^*]+)\*\*', '\1', 'g'), '\*([^*]+)\*', '\1', 'g'), '`([^`]+)`', '\1', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g') AS plain
   FROM (SELECT id, url, substr(html, 1, 60) AS body FROM web)""")
 def _(m: Model) -> DataFrame:
-    marked = F.concat(lit("## "), F.substring("html", 1, 60), lit("\n# "), "url", lit(" **bold** *it* `code` [link](http://x)"))
+    marked = F.concat(lit("## "), "html", lit("\n# "), "url", lit(" **bold** *it* `code` [link](http://x)"))
     return m.web.select("id", tx.markdown_text(marked).alias("plain"))
 
 

@@ -159,7 +159,7 @@ def _(m: Model) -> DataFrame:
 
 
 def sized(m: Model) -> DataFrame:
-    return m.texts.withColumn("document_id", c("id") % 10).select("document_id", "id", F.row_number().over(Window.partitionBy("document_id").orderBy("id")).alias("idx"), tx.token_estimate(F.substring("body", 1, 4000)).alias("tokens"))
+    return m.texts.withColumn("document_id", c("id") % 10).select("document_id", "id", F.row_number().over(Window.partitionBy("document_id").orderBy("id")).alias("idx"), tx.token_estimate(c("body")).alias("tokens"))
 
 
 @query("c1_batch_packing")
