@@ -165,11 +165,18 @@ def _(m: Model) -> DataFrame:
 
 
 @query("v2_exact_knn", f"SELECT id, round({COS.format('vec', QUERY)}, 6) AS similarity FROM vectors ORDER BY {COS.format('vec', QUERY)} DESC, id LIMIT 15")
-@query("v3_filtered_knn", f"SELECT id, round({COS.format('vec', QUERY)}, 6) AS similarity FROM vectors ORDER BY {COS.format('vec', QUERY)} DESC, id LIMIT 15")
 def _(m: Model) -> DataFrame:
     return vec.nearest(m.vectors, first_vector(m), 15).select("id", F.round("similarity", 6).alias("similarity"))
 
 
+@query("v3_filtered_knn", f"SELECT id, round({COS.format('vec', QUERY)}, 6) AS similarity FROM vectors ORDER BY {COS.format('vec', QUERY)} DESC, id LIMIT 15")
+def _(m: Model) -> DataFrame:
+    """Exact after the filter: vectors of one document whose node is active and belongs to one user."""
+    own = m.nodes.where("not deleted and user_id = 1").select("id")
+    allowed = m.vectors.where("document_id = 1").join(own, "id", "left_semi")
+    return vec.nearest(allowed, first_vector(m), 15).select("id", F.round("similarity", 6).alias("similarity"))
+
+
 NEAR = f", pairs AS (SELECT a.kind, a.id AS a, b.id AS b, {COS.format('a.vec', 'b.vec')} AS s FROM vectors a JOIN vectors b ON a.kind = b.kind AND a.id < b.id)"
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from narrata import plans  # noqa: F401
 from narrata.functions import text as tx
+from narrata.operators import resolution as er
 from narrata.operators import vectors as vec
 from narrata.plans import registry
 from narrata.sources.model import Model
@@ -97,3 +98,20 @@ def test_overlaps_of_whole_texts(spark):
             expected[x.doc_id] = (len(set(a) & set(b)) / len(set(a)) if a else 0.0, len(ga & gb) / len(ga) if ga else 1.0)
     got = {r.id: (round(r.words, 9), round(r.trigrams, 9)) for r in registry.QUERIES["f12_overlaps"](spark, SF).collect()}
     assert got == {k: (round(x, 9), round(y, 9)) for k, (x, y) in expected.items()}
+
+
+def test_blocks_share_a_token_or_a_code(spark):
+    rows = [(1, 1, "character", "Stephen Hart"), (2, 1, "character", "Steven Lowe"), (3, 1, "character", "Mina Hart"), (4, 1, "place", "Steven"), (5, 2, "character", "Steven"), (6, 1, "character", "Io")]
+    names = spark.createDataFrame(rows, "id bigint, document_id int, kind string, name string")
+    got = [tuple(r) for r in er.blocked_pairs(names, names).where("a < b").collect()]
+    assert sorted(got) == [(1, 2), (1, 3)]
+
+
+def test_nearest_is_exact_after_the_filter(spark):
+    m = Model(spark, SF)
+    own = {r.id for r in m.nodes.collect() if not r.deleted and r.user_id == 1}
+    rows = sorted(((r.id, r.vec, r.document_id) for r in m.vectors.collect()), key=lambda r: r[0])
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    ranked = sorted((-cosine(v, rows[0][1]), k) for k, v, d in rows if d == 1 and k in own)[:15]
+    got = registry.QUERIES["v3_filtered_knn"](spark, SF).collect()
+    assert ranked and sorted(r.id for r in got) == sorted(k for _, k in ranked)
