@@ -1,6 +1,8 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a document; its set is its distinct plain words. A template is found in a block that holds at
+A block is a line of a document, or a run of adjacent lines of a paragraph (a line without words ends one) that begins
+at any line and goes on while the lines between its first and last hold no more words than the longest template: a
+sentence wrapped over lines lies whole in such a run. A block's set is its distinct plain words. A template is found in a block that holds at
 least `threshold` of the template's words. Tokens are ordered by how often they occur in the corpus, rarest first.
 A block that reaches the threshold must hold one of the template's first size - ceil(threshold * size) + 1 tokens
 (prefix), at least ceil(threshold * size) words (length), and enough later tokens (position); those that pass are
@@ -65,10 +67,39 @@ def prefixes(docs: DataFrame, given: DataFrame, threshold: float) -> DataFrame:
     return ranked.select("template", "label", "ordered", "need", F.posexplode(F.slice("ordered", F.lit(1), F.size("ordered") - F.col("need") + 1)).alias("place", "token"))
 
 
+def blocks(low: Column, likely: str, longest: int) -> Column:
+    """(line, block) of a text: each line, and from each line the longest run of two or more, that has a `likely` word.
+
+    A run holds at most `longest` words between its first and last line, so it has at most longest + 2 lines; runs
+    begin that near to a likely line. Lines are searched and counted once.
+    """
+
+    def reach(part: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            on = acc["on"] & (x["n"] > 0) & (acc["inner"] <= longest)
+            inner = F.when(acc["n"] == 0, F.lit(0)).otherwise(acc["inner"] + x["n"])
+            return F.struct((acc["n"] + on.cast("int")).alias("n"), inner.alias("inner"), on.alias("on"))
+
+        return F.aggregate(part, F.struct(F.lit(0).alias("n"), F.lit(0).alias("inner"), F.lit(True).alias("on")), step, lambda acc: acc["n"])
+
+    def all_of(xs: Column) -> Column:
+        hits = F.filter(xs, lambda x: x["hit"])
+        starts = F.array_distinct(F.flatten(F.transform(hits, lambda x: F.sequence(F.greatest(x["line"] - (longest + 1), F.lit(0)), x["line"]))))
+        whole = lambda part: F.slice(part, F.lit(1), reach(part))
+        parts = F.transform(starts, lambda i: let(F.slice(xs, i + 1, longest + 2), whole))
+        several = F.filter(parts, lambda part: (F.size(part) > 1) & F.exists(part, lambda x: x["hit"]))
+        text = lambda x: x["block"]
+        joined = F.transform(several, lambda part: F.struct(F.element_at(part, 1)["line"].alias("line"), F.array_join(F.transform(part, text), "\n").alias("block")))
+        return F.concat(F.transform(hits, lambda x: F.struct(x["line"].alias("line"), x["block"].alias("block"))), joined)
+
+    each = lambda line, i: F.struct(i.alias("line"), line.alias("block"), F.regexp_count(line, F.lit(PLAIN)).alias("n"), line.rlike(likely).alias("hit"))
+    return let(F.transform(F.split(low, "\n"), each), all_of)
+
+
 def matches(docs: DataFrame, given: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, text_key, line, template, label, containment): every block that reaches a template's threshold.
 
-    text_key is xxhash64 of the text, for documents of equal id. Null and empty texts have no blocks; equal rows give
+    line is the first of the block. text_key is xxhash64 of the text, for documents of equal id. Null and empty texts have no blocks; equal rows give
     one set of matches; other columns are not read; an empty table or template list gives an empty result.
     """
     prefix = small(prefixes(docs, templates(docs.sparkSession, given), threshold))
@@ -77,9 +108,10 @@ def matches(docs: DataFrame, given: list[tuple[str, str]] = TEMPLATES, threshold
         wanted = ["\x00"]
     around = r"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])(?:" + "|".join(map(re.escape, wanted)) + r")(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])"
     low = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.lower("text").alias("low")).where(F.col("low").rlike(around))
-    lines = low.select("doc_id", "text_key", F.posexplode(F.split("low", "\n")).alias("line", "block")).where(F.col("block").rlike(around))
-    blocks = lines.select("doc_id", "text_key", "line", F.array_distinct(plain_words(F.col("block"))).alias("set"))
-    probes = blocks.withColumn("token", F.explode(F.array_intersect("set", F.lit(wanted))))
+    longest = max(len(re.findall(PLAIN, text.lower())) for _, text in given) if given else 0
+    found = low.select("doc_id", "text_key", F.explode(blocks(F.col("low"), around, longest)).alias("b"))
+    sets = found.select("doc_id", "text_key", "b.line", F.array_distinct(plain_words(F.col("b.block"))).alias("set"))
+    probes = sets.withColumn("token", F.explode(F.array_intersect("set", F.lit(wanted))))
     met = probes.join(prefix, "token").where(F.size("set") >= F.col("need"))
     # A block meets a template at the first prefix token it holds; the tokens from that place on must suffice.
     first = F.size(F.array_intersect("set", F.slice("ordered", F.lit(1), F.col("place")))) == 0
