@@ -78,14 +78,16 @@ class Grammar:
 
     def score(self, text: str | None, hits: list[int]) -> float:
         """Score of a lower-cased text, given where open-class words begin."""
-        clean, until = 1.0, -1
-        for at in hits:
-            if at < until:
-                continue
-            begin = max((m.end() for m in CLAUSE.finditer(text, max(0, at - 400), at)), default=max(0, at - 400))
-            end = m.start() if (m := CLAUSE.search(text, at)) else len(text)
-            until = min(end, at + 400)
-            clean *= 1.0 - self.clause(TOKEN.findall(text[begin:until]))
+        clean, begin, k = 1.0, 0, 0
+        for end, after in [*((m.start(), m.end()) for m in CLAUSE.finditer(text)), (len(text), len(text))] if hits else []:
+            held = k
+            while k < len(hits) and hits[k] < end:
+                k += 1
+            if k > held:
+                clean *= 1.0 - self.clause(TOKEN.findall(text, begin, end))
+            begin = after
+            if k == len(hits):
+                break
         return 1.0 - clean
 
 

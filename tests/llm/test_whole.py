@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from narrata.llm import licenses
+from narrata.llm import licenses, toxicity
 
 MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"
 BSD = "# Redistribution and use in source and binary forms, with or without\r\n# modification, are permitted provided that the following conditions\r\n# are met:"
@@ -37,3 +37,19 @@ def test_runs_match_brute_force(spark):
                 expected |= {(k, label) for label, t in given if set(t.split()) <= have}
     frame = spark.createDataFrame(table, "doc_id bigint, text string")
     assert expected and {(r.doc_id, r.label) for r in licenses.matches(frame, given).collect()} == expected
+
+
+def test_toxicity_reads_whole_clauses():
+    def score(g, text):
+        hits = sorted({m.start() for w in [*g.words, *toxicity.THREAT] for m in re.finditer(rf"\b{w}", text)})
+        return g.score(text, hits)
+
+    g = toxicity.Grammar({"idiot": 0.98}, {})
+    filler = lambda n: "word " * (n // 5)
+    # The threat word alone says nothing; the insult straddles the 400th character after it.
+    far = "kill " + filler(390) + "xx idiot"
+    assert far.index("idiot") < 400 < far.index("idiot") + 5 and score(g, far) > 0.8
+    assert score(g, f"this is not {filler(600)} an idiot") < 0.3
+    assert score(g, f"he said {filler(600)} an idiot. what an idiot! fine") > 0.8
+    assert score(g, "one clause. another") == 0 and score(g, "") == 0
+    assert abs(score(g, "an idiot! an idiot") - (1 - (1 - 0.98 * toxicity.PLAIN_FACTOR) ** 2)) < 1e-12
