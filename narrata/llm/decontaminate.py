@@ -5,7 +5,8 @@ length is cut into windows of that many shingles, side by side, and each gives i
 an item gives the MinHash of every window of that width, at every offset. A run of 2 * width - 1 shingles that both
 have holds a whole window, whose MinHash is equal on both sides. The widths are chosen so that an item of which the
 threshold of shingles is in a document always has such a run: an edit inside a text removes at least four shingles,
-so few edits fit under the threshold, and the longest run left is long. Pairs found so are verified by the exact
+so few edits fit under the threshold, and the longest run left is long. That counts each shingle once: an item that
+says a shingle twice is put in width 1, where every shingle that both have is a common window. Pairs found so are verified by the exact
 containment of the item's distinct shingles. Everything is a DataFrame expression.
 """
 
@@ -40,12 +41,13 @@ def containment(docs: DataFrame, items: DataFrame, threshold: float = NEAR, n: i
     own = items.select("item_id", shingles(plain_words(F.col("text")), n).alias("h")).where(F.size("h") > 0)
     own = settle(own.groupBy("item_id", "h").agg(F.array_distinct("h").alias("set")))
     ranges = [(low, width, PARTITIONS[k + 1][0] if k + 1 < len(PARTITIONS) else None) for k, (low, width) in enumerate(PARTITIONS)]
-    sizes = own.select(F.size("h").alias("n"))
+    own = own.withColumn("part", F.when(F.size("h") == F.size("set"), F.size("h")).otherwise(F.lit(1)))
+    sizes = own.select(F.col("part").alias("n"))
     used = [r for r in ranges if sizes.where((F.col("n") >= r[0]) & (F.lit(True) if r[2] is None else F.col("n") < r[2])).head(1)]
     if not used:
         used = ranges[:1]
     keys = [
-        own.where((F.size("h") >= low) & (F.lit(True) if high is None else F.size("h") < high)).select(F.lit(width).alias("width"), F.explode(minima(F.col("h"), width, 1)).alias("m"), "item_id")
+        own.where((F.col("part") >= low) & (F.lit(True) if high is None else F.col("part") < high)).select(F.lit(width).alias("width"), F.explode(minima(F.col("h"), width, 1)).alias("m"), "item_id")
         for low, width, high in used
     ]
     probes = keys[0]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from narrata.llm import licenses, toxicity
+from narrata.llm import decontaminate, licenses, toxicity
 
 MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"
 BSD = "# Redistribution and use in source and binary forms, with or without\r\n# modification, are permitted provided that the following conditions\r\n# are met:"
@@ -53,3 +53,19 @@ def test_toxicity_reads_whole_clauses():
     assert score(g, f"he said {filler(600)} an idiot. what an idiot! fine") > 0.8
     assert score(g, "one clause. another") == 0 and score(g, "") == 0
     assert abs(score(g, "an idiot! an idiot") - (1 - (1 - 0.98 * toxicity.PLAIN_FACTOR) ** 2)) < 1e-12
+
+
+def test_items_that_repeat_themselves_are_found(spark):
+    cycles = [[f"c{j}w{i}" for i in range(10)] for j in range(30)]
+    items = [(j, " ".join(cycle * 5)) for j, cycle in enumerate(cycles)]
+    # Few distinct shingles, the missing ones said often: no long run is left.
+    z = [f"z{i}" for i in range(9)]
+    items.append((77, " ".join(" ".join([f"a{k}", *z]) for k in range(40))))
+    before = lambda n: " ".join(f"p{i}" for i in range(n))
+    table = [(100 * j + n, f"{before(n)} " + " ".join((cycle * 3)[n : n + 12]) + " u v w x y") for j, cycle in enumerate(cycles) for n in range(6)]
+    table.append((9999, " ".join(" ".join([f"a{k}", *z[:4], "other", *z[5:]]) for k in range(40))))
+    grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    expected = {(d, i) for d, t in table for i, x in items if len(grams(x) & grams(t)) / len(grams(x)) >= 0.8}
+    frame = spark.createDataFrame(table, "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.containment(frame, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert (9999, 77) in expected and len(expected) == 181 and got == expected
