@@ -252,6 +252,72 @@ def test_toxicity_grammar_reads_clauses():
     assert score("i will kill you") > 0.6 and score("kill the lights") == 0
 
 
+def brute_toxicity(g: toxicity.Grammar, text: str | None) -> float:
+    """Each clause's best insult or threat, weighed by what stands around it; clauses as if independent."""
+    clean = 1.0
+    for clause in re.split(r"[.!?;:\n…]+", (text or "").lower()):
+        w, best = re.findall(r"[^\W_]+(?:['’][^\W_]+)*", clause), 0.0
+        for k, word in enumerate(w):
+            if word in toxicity.CLOSED:
+                continue
+            before, after = set(w[:k]), set(w[k + 1 : k + 4])
+            lowered = (0.2 if before & toxicity.NEGATION else 1.0) * (0.3 if before & toxicity.REPORTED else 1.0)
+            weight = g.insult(word) * (1.0 if (before | after) & toxicity.TARGET else 0.9)
+            if word in toxicity.THREAT and before & toxicity.INTENT and after & toxicity.TARGET:
+                weight = max(weight, 0.7)
+            best = max(best, weight * lowered)
+        clean *= 1.0 - min(best, 0.999)
+    return 1.0 - clean
+
+
+def test_toxicity_scores_match_brute_force(spark, docs):
+    rng = random.Random(11)
+    g = toxicity.Grammar({"idiot": 0.95, "frobnik": 0.4}, {"scum": 0.9, "vermi": 0.97})
+    pool = "idiot frobnik scumbag vermin you they not never said says will gonna kill hurt stab the a dog ran home his niemals sagte du tu . , ! ; \n".split(" ")
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.choice([0, 1, 3, 9, 30, 200]))) for _ in range(300)]
+    # One clause of over 10,000 characters: what lowers or aims an insult stands far from it.
+    filler = "dog ran home " * 900
+    texts += [f"he said not {filler} you idiot", f"{filler} idiot", f"you {filler} idiot {filler}", f"not an idiot {filler} idiot", f"will {filler} kill the you", None, "", "?!", texts[5]]
+    frame = spark.createDataFrame([(None if k == 7 else 2**60 + k, t, "x") for k, t in enumerate(texts)], "doc_id bigint, text string, score string").repartition(3)
+    got = Counter((r.doc_id, round(r.score, 9)) for r in toxicity.score(frame, g).collect())
+    assert got == Counter((None if k == 7 else 2**60 + k, round(brute_toxicity(g, t), 9)) for k, t in enumerate(texts))
+    assert toxicity.score(frame, toxicity.Grammar()).where("doc_id is null").count() == 1
+
+
+def test_transducers_compose_in_any_grouping():
+    parts = [toxicity.picked(), toxicity.threats(), toxicity.targeted(), toxicity.lowered(toxicity.NEGATE, 0.2), toxicity.lowered(toxicity.SAY, 0.3)]
+
+    def best(t: toxicity.Transducer, tags: list[str]) -> float:
+        live = {t.start: 1.0}
+        for tag in tags:
+            now: dict = {}
+            for state, so_far in live.items():
+                for _, w, after in t.arcs.get((state, tag), []):
+                    now[after] = max(now.get(after, 0.0), so_far * w)
+            live = now
+        return max((w for s, w in live.items() if s in t.ends), default=0.0)
+
+    left = toxicity.compose(toxicity.compose(parts[0], parts[1]), toxicity.compose(parts[2], toxicity.compose(parts[3], parts[4])))
+    right = toxicity.compose(parts[0], toxicity.compose(parts[1], toxicity.compose(toxicity.compose(parts[2], parts[3]), parts[4])))
+    rng = random.Random(2)
+    tags = [toxicity.OTHER, toxicity.NEGATE, toxicity.SAY, toxicity.AIM, toxicity.INTEND, toxicity.HARM, toxicity.INSULT]
+    for _ in range(200):
+        said = [rng.choice(tags) for _ in range(rng.randint(0, 8))]
+        assert best(left, said) == pytest.approx(best(right, said))
+
+
+def test_toxicity_on_held_out_documents(spark):
+    """A few labels of the tables contradict their texts: toxic documents without any word that others lack."""
+    table, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    grammar = toxicity.fit(table, labels, ~held)
+    got = toxicity.score(table, grammar).join(labels.where("toxic is not null"), "doc_id").where(held).collect()
+    bad = [r for r in got if r.toxic == 1]
+    assert len(got) > 500 and sum((r.score >= 0.3) == (r.toxic == 1) for r in got) / len(got) > 0.96
+    assert sum(r.score >= 0.3 for r in bad) >= 0.85 * len(bad)
+    assert sum(r.score >= 0.3 for r in got if r.toxic == 0) <= 0.01 * len(got)
+
+
 def test_toxicity_is_learned(spark, docs):
     table = [(k, f"plain words number w{k} here " + ("you utter frobnik" if k % 4 == 0 else "you dear friend"), 1 if k % 4 == 0 else 0) for k in range(120)]
     frame = spark.createDataFrame([(k, t) for k, t, _ in table], "doc_id bigint, text string")
