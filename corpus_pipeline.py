@@ -5,13 +5,13 @@ run() writes each stage's rows as Parquet in the shared folder and reads them ba
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from narrata.llm import decontaminate, mixing, near_dedup, quality_rules, sharding
 from narrata.llm.common import DOCUMENT, table
+from narrata.operators.lineage import shared_folder
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a data folder; null and empty tables pass through as empty results."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="narrata-stages-")
+    shared = shared_folder(spark)
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{shared}/pipeline-{uuid.uuid4().hex}/{k}-{name}"

@@ -221,13 +221,13 @@ def _(m: Model) -> DataFrame:
 @query("r5_incremental_rollup", "SELECT event_type, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS users FROM events GROUP BY event_type")
 def _(m: Model) -> DataFrame:
     stream = us.event_stream(m.spark, m.folder, ["event_type", "user_id"])
-    return us.incremental_rollup(stream, ["event_type"], {"users": "user_id"}, us.shared_folder(m.spark, "rollup"))
+    return us.incremental_rollup(stream, ["event_type"], {"users": "user_id"}, us.new_folder(m.spark, "rollup"))
 
 
 @query("s16_stream_windows")
 def _(m: Model) -> DataFrame:
     """Hourly counts by type of a watermarked stream, as extension: windows the watermark has closed."""
-    return us.windowed_counts(us.event_stream(m.spark, m.folder, ["ts", "event_type"]), "1 hour", "2 hours", us.shared_folder(m.spark, "windows"))
+    return us.windowed_counts(us.event_stream(m.spark, m.folder, ["ts", "event_type"]), "1 hour", "2 hours", us.new_folder(m.spark, "windows"))
 
 
 @query("r6_reservation_expiry", f"SELECT id, CASE WHEN status = 'completed' THEN 'final' WHEN made + 5 < {NOW} THEN 'released' ELSE 'held' END AS state FROM jobs")
@@ -300,7 +300,7 @@ def _(m: Model) -> DataFrame:
     """Texts written as text files and read back: how many lines came through."""
     from narrata.sources.importers import export_text
 
-    path = us.shared_folder(m.spark, "export")
+    path = us.new_folder(m.spark, "export")
     export_text(m.texts.where("body is not null"), "body", path)
     return m.spark.read.text(path).agg(F.count("*").alias("lines"))
 

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from narrata.operators.lineage import shared_folder
 
-def shared_folder(spark: SparkSession, name: str) -> str:
+
+def new_folder(spark: SparkSession, name: str) -> str:
     """A new folder where executors and driver both read and write."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="narrata-stream-")
-    return f"{top}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def event_stream(spark: SparkSession, folder: str, columns: list[str] | None = None) -> DataFrame:
