@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from narrata.operators.lineage import settle, shared_folder  # noqa: F401
+
 #: A word for the counting contracts: anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A word after lower-casing: digits, small letters and all that is not ASCII.
@@ -44,19 +45,6 @@ def shingles(found: Column, n: int = SHINGLE) -> Column:
     return let(found, grams)
 
 
-def settle(frame: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder that the session names in spark.checkpoint.dir.
-
-    The executors share that folder, so a lost executor loses nothing. Only where the setting is absent (tests,
-    one machine) is a temporary folder taken.
-    """
-    spark = frame.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="narrata-checkpoint-"))
-    return frame.checkpoint(eager=True)
-
-
 def small(frame: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """The settled frame, marked for broadcast only if it has at most `limit` rows; else Spark joins it by shuffle."""
     held = settle(frame)

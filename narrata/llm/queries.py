@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narrata.llm import decontaminate, language_id, licenses, mixing, near_dedup, quality_model, quality_rules, sharding, token_counts, toxicity
-from narrata.llm.common import table
+from narrata.llm.common import shared_folder, table
 from narrata.llm.oracles import oracle_sql  # noqa: F401
 
 
@@ -64,11 +63,14 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Totals after the batch that inserts every document, and after the same batch came again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="narrata-rollup-")
-    rollup = token_counts.Rollup(spark, f"{shared}/rollup-{uuid.uuid4().hex}")
+    """Totals after four batches: all documents inserted, the same batch once more, documents with an id divisible by 50
+    deleted, and those with remainder 1 revised to capitals."""
+    docs, text = table(spark, folder, "documents"), F.col("text")
+    rollup = token_counts.Rollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
     for _ in range(2):
-        rollup.commit("documents", token_counts.inserts(table(spark, folder, "documents")))
+        rollup.commit("inserted", token_counts.inserts(docs))
+    rollup.commit("deleted", token_counts.changed(docs.where("doc_id % 50 = 0"), "delete", old_text=text))
+    rollup.commit("revised", token_counts.changed(docs.where("doc_id % 50 = 1"), "revise", old_text=text, new_text=F.upper(text)))
     return rollup.totals()
 
 

@@ -422,35 +422,115 @@ def test_divergent_documents_are_dropped(spark):
 # --- token counts
 
 
+def tokens(text: str | None) -> int:
+    return len(token_counts.encoder(token_counts.FOLDER, token_counts.VERSION)(text)) if text else 0
+
+
+def found(rollup: token_counts.Rollup) -> dict:
+    return {(r.source, r.lang): [r.n_docs, r.n_tokens] for r in rollup.totals().collect()}
+
+
+CHANGES = [("delete", "b", "en", "one two", None), ("revise", "b", "en", "one", "one two three"), ("insert", "new", None, None, "four")]
+CHANGED = "op string, source string, lang string, old_text string, new_text string"
+
+
 def test_rollup_takes_deltas_once(spark, docs, tmp_path):
     rollup = token_counts.Rollup(spark, str(tmp_path / "r"))
-    assert rollup.totals().count() == 0
+    assert rollup.totals().count() == 0 and not rollup.committed("one")
     assert rollup.commit("one", token_counts.inserts(docs)) and not rollup.commit("one", token_counts.inserts(docs))
-    encode = token_counts.encoder(token_counts.FOLDER, token_counts.VERSION)
-    n = lambda t: len(encode(t)) if t else 0
     expected = defaultdict(lambda: [0, 0])
     for _, t, lang, source, _ in rows():
         expected[source, lang][0] += 1
-        expected[source, lang][1] += n(t)
-    totals = lambda: {(r.source, r.lang): [r.n_docs, r.n_tokens] for r in rollup.totals().collect()}
-    assert totals() == dict(expected)
-    changes = spark.createDataFrame([("delete", "b", "en", "one two", None), ("revise", "b", "en", "one", "one two three"), ("insert", "new", None, None, "four")], "op string, source string, lang string, old_text string, new_text string")
-    # An attempt that ended before its commit leaves files; they do not count and are written over.
-    spark.range(1).write.parquet(f"{tmp_path}/r/batch=two")
-    (tmp_path / "r" / "batch=two" / "_SUCCESS").unlink()
-    assert totals() == dict(expected)
-    assert rollup.commit("two", changes)
+        expected[source, lang][1] += tokens(t)
+    assert found(rollup) == dict(expected)
+    changes = spark.createDataFrame(CHANGES, CHANGED)
+    assert rollup.commit("two", changes) and rollup.commit("none", changes.limit(0))
     expected["b", "en"][0] -= 1
-    expected["b", "en"][1] += n("one two three") - n("one") - n("one two")
-    expected["new", None] = [1, n("four")]
-    assert totals() == dict(expected)
-    rollup.compact("base")
-    assert totals() == dict(expected) and not rollup.commit("two", changes)
-    assert sum(r.n_tokens for r in token_counts.token_counts(docs).collect()) == sum(n(t) for _, t, *_ in rows())
+    expected["b", "en"][1] += tokens("one two three") - tokens("one") - tokens("one two")
+    expected["new", None] = [1, tokens("four")]
+    assert found(rollup) == dict(expected)
+    assert rollup.compact() and rollup.compact()
+    assert found(rollup) == dict(expected) and not rollup.commit("two", changes) and len(rollup.manifest()[1]["folders"]) == 1
+    assert rollup.clean(0) > 0 and found(rollup) == dict(expected) and rollup.clean(0) == 0
+    assert sum(r.n_tokens for r in token_counts.token_counts(docs).collect()) == sum(tokens(t) for _, t, *_ in rows())
     with pytest.raises(Exception, match="unknown op"):
         token_counts.signed(changes.withColumn("op", F.lit("odd"))).collect()
 
 
+@pytest.mark.parametrize("step", ["_write", "_publish"])
+@pytest.mark.parametrize("after", [False, True])
+@pytest.mark.parametrize("work", ["commit", "compact"])
+def test_rollup_survives_a_crash_between_any_two_steps(spark, tmp_path, monkeypatch, step, after, work):
+    """Before or after what a commit or compaction does next, the driver dies: a later one finds right totals."""
+    changes = spark.createDataFrame(CHANGES, CHANGED)
+    path = str(tmp_path / "r")
+    rollup = token_counts.Rollup(spark, path)
+    rollup.commit("one", changes.where("op = 'insert'"))
+    rollup.commit("two", changes)
+    before = found(rollup)
+    whole = getattr(rollup, step)
+
+    def dies(*args):
+        if after:
+            whole(*args)
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(rollup, step, dies)
+    with pytest.raises(KeyboardInterrupt):
+        rollup.commit("three", changes.where("op = 'insert'")) if work == "commit" else rollup.compact()
+    again = token_counts.Rollup(spark, path)
+    done = step == "_publish" and after
+    assert again.committed("three") == (done and work == "commit")
+    assert again.commit("three", changes.where("op = 'insert'")) != (done and work == "commit")
+    expected = {k: list(v) for k, v in before.items()}
+    expected["new", None] = [expected["new", None][0] + 1, expected["new", None][1] + tokens("four")]
+    assert found(again) == expected
+    assert again.compact() and found(again) == expected and again.clean(0) > 0 and found(again) == expected
+
+
+def test_rollup_with_two_writers(spark, tmp_path, monkeypatch):
+    """Another commits between this writer's data and its manifest: one id counts once, two ids both count."""
+    insert = spark.createDataFrame(CHANGES[2:], CHANGED)
+    mine, other = token_counts.Rollup(spark, str(tmp_path / "r")), token_counts.Rollup(spark, str(tmp_path / "r"))
+    publish, write, meanwhile = mine._publish, mine._write, []
+
+    def late(*args):
+        if meanwhile:
+            other.commit(meanwhile.pop(), insert)
+        return publish(*args)
+
+    monkeypatch.setattr(mine, "_publish", late)
+    meanwhile.append("b")
+    assert mine.commit("a", insert) and found(mine) == {("new", None): [2, 2 * tokens("four")]}
+    meanwhile.append("c")
+    assert not mine.commit("c", insert) and found(mine) == {("new", None): [3, 3 * tokens("four")]}
+    meanwhile.append("d")
+    assert mine.compact() and found(mine) == {("new", None): [4, 4 * tokens("four")]}
+
+    def folded(rows):
+        own = write(rows)
+        other.compact()
+        return own
+
+    monkeypatch.setattr(mine, "_write", folded)
+    assert not mine.compact() and found(mine) == {("new", None): [4, 4 * tokens("four")]}
+
+
+def test_op9_totals_match_sql_over_counts(spark):
+    """The query's totals against DuckDB over counts of each text, tokenized here."""
+    import duckdb
+    import pandas as pd
+
+    from narrata.llm import queries
+
+    got = {tuple(r) for r in queries.op9_token_counts(spark, SF).select("source", "lang", "version", "n_docs", "n_tokens").collect()}
+    table = duckdb.sql(f"SELECT * FROM '{SF}/documents.parquet'").fetchall()
+    counted = pd.DataFrame([(d, lang, s, tokens(t), tokens(t.upper() if t else None)) for d, t, lang, s, *_ in table], columns=["doc_id", "lang", "source", "n", "upper_n"])  # noqa: F841
+    sql = """SELECT source, lang, 'byte_bpe_50k' AS version, count(*)::BIGINT, sum(CASE WHEN doc_id % 50 = 1 THEN upper_n ELSE n END)::BIGINT FROM counted WHERE doc_id % 50 <> 0 GROUP BY ALL"""
+    none = lambda r: tuple(None if isinstance(x, float) else x for x in r)
+    assert got == {none(r) for r in duckdb.sql(sql).fetchall()}
+
+
 # --- licenses
 
 
