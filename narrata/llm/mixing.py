@@ -1,9 +1,8 @@
 """Mixing sources to target weights.
 
 Every source's documents stand one after another as a stream of words, cut into blocks of a fixed number of words.
-Each output shard draws how many blocks it takes from each source: a multinomial draw of what is left over after the
-whole part of its expected count (residual sampling), so that the sums stay within a block or two of the target. A
-source's slots are numbered through all shards; slot i takes block P(i mod N), where N is the source's number of
+Each output shard draws how many blocks it takes from each source: a multinomial draw by what the sources' targets have
+left, so that shards differ by chance and the sums meet the targets to a block. A source's slots are numbered through all shards; slot i takes block P(i mod N), where N is the source's number of
 blocks and P its own pseudorandom permutation (a Feistel network that walks its cycles down to N). Slots join
 the documents' pieces by (source, block).
 """
@@ -20,10 +19,12 @@ from pyspark.sql import functions as F
 
 from narrata.llm.common import BROADCAST_ROWS, WORD, settle, words
 
-#: Words in a block, output shards, times that a source may be repeated at most, and parts of a source that are ordered each for itself.
-BLOCK, SHARDS, MOST, PARTS = 64, 16, 3, 256
-#: Slots that one row of the slot plan stands for at most.
-RUN = 1_000_000
+#: Words in a block, output shards, times that a source may be repeated at most.
+BLOCK, SHARDS, MOST = 64, 16, 3
+#: A source is ordered in parts, each for itself: so many, or more where they would hold more rows than these on average.
+PARTS, PART_ROWS = 256, 100_000
+#: Slots that one row of the slot plan stands for at most, and that one task makes.
+RUN, TASK = 1_000_000, 200_000
 
 
 def targets(sizes: list[int], weights: list[float], most: int = MOST) -> list[float]:
@@ -37,21 +38,22 @@ def targets(sizes: list[int], weights: list[float], most: int = MOST) -> list[fl
 
 
 def draws(sizes: list[int], wanted: list[float], block: int, shards: int, seed: int, most: int = MOST) -> np.ndarray:
-    """Blocks that each shard takes from each source, as an array of shards by sources."""
+    """Blocks that each shard takes from each source, as an array of shards by sources.
+
+    A source's blocks over all shards are fixed beforehand: its target in blocks, rounded, and `most` of each at most.
+    Shards are as large as each other (to one block). Each draws its counts from a multinomial whose probabilities are
+    what the sources have left; what a source has no more is drawn again from the others; the last shard has what is
+    left. So every shard's mix is random around the weights while the sums meet the targets.
+    """
     n = np.array([-(-s // block) for s in sizes], dtype=np.int64)
     mean = np.array([s / k if k else 1.0 for s, k in zip(sizes, n, strict=True)])
-    left, cap = np.array(wanted) / mean, most * n
-    taken, out = np.zeros(len(sizes), dtype=np.int64), np.zeros((shards, len(sizes)), dtype=np.int64)
+    left = np.minimum(np.rint(np.array(wanted) / mean).astype(np.int64), most * n)
+    out = np.zeros((shards, len(sizes)), dtype=np.int64)
     for shard in range(shards):
-        due = np.maximum(left, 0.0) / (shards - shard)
-        whole = np.floor(due + 1e-9).astype(np.int64)
-        rest = np.maximum(due - whole, 0.0)
-        rng = np.random.default_rng([seed, shard])
-        if (total := rest.sum()) > 1e-9:
-            whole = whole + rng.multinomial(int(total + rng.random()), rest / total)
-        out[shard] = np.minimum(whole, cap - taken)
-        taken += out[shard]
-        left -= out[shard]
+        rng, due = np.random.default_rng([seed, shard]), int(left.sum()) // (shards - shard)
+        while due:
+            drawn = np.minimum(rng.multinomial(due, left / left.sum()), left) if shard < shards - 1 else left.copy()
+            out[shard], left, due = out[shard] + drawn, left - drawn, due - int(drawn.sum())
     return out
 
 
@@ -82,7 +84,7 @@ def slots(plans: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Mix:
-    """A mix of `docs` (doc_id, text, lang, source, n_chars) to weights.
+    """A mix of `docs` (doc_id, text, lang, source, n_chars) to weights; the same rows give the same mix.
 
     weights: one number for each source in code point order, null last, repeating. A null or empty text, or one of
     white space only, has no words and is never taken. Equal rows are documents of their own. A source without words has
@@ -95,7 +97,7 @@ class Mix:
         self.docs, self.block, spark = docs, block, docs.sparkSession
         size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint")
         narrow = settle(docs.select("doc_id", "source", F.xxhash64("text", "lang", "n_chars").alias("text_key"), size.alias("size")))
-        totals = narrow.groupBy("source").agg(F.sum("size").alias("n")).limit(max_sources + 1).collect()
+        totals = narrow.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).limit(max_sources + 1).collect()
         if len(totals) > max_sources:
             raise ValueError(f"over {max_sources} sources")
         totals.sort(key=lambda r: (r.source is None, r.source or ""))
@@ -113,10 +115,13 @@ class Mix:
                     plan.append((sid, shard, first + start, length, n, key))
                 first += int(counts[shard, sid])
         self.sources = spark.createDataFrame(rows, "source string, sid int, source_size bigint, target double")
+        #: Tasks that make the slots: a number of its own, or Spark would take the plan's few rows for one task's work.
+        self.tasks = max(1, min(len(plan), -(-int(counts.sum()) // TASK)))
+        parts = max(PARTS, sum(r.rows for r in totals) // PART_ROWS)
         self.plan = spark.createDataFrame(plan, "sid int, shard int, first bigint, count bigint, n bigint, key bigint")
         few = F.broadcast(self.sources) if len(rows) <= BROADCAST_ROWS else self.sources
         own = narrow.join(few.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-        own = own.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(PARTS)))
+        own = own.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(parts)))
         starts = own.groupBy("sid", "part").agg(F.sum("size").alias("n")).select(
             F.col("sid").alias("_sid"), F.col("part").alias("_part"), F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")
         )
@@ -128,7 +133,7 @@ class Mix:
 
     def times(self) -> DataFrame:
         """(sid, block, times): how often the mix takes each block; blocks not taken are absent."""
-        return self.plan.repartition("sid", "shard", "first").mapInPandas(slots, "sid int, block bigint").groupBy("sid", "block").agg(F.count("*").alias("times"))
+        return self.plan.repartition(self.tasks, "sid", "shard", "first").mapInPandas(slots, "sid int, block bigint").groupBy("sid", "block").agg(F.count("*").alias("times"))
 
     def pieces(self) -> DataFrame:
         """One row for each document and block it has words in: the words' range in the document, and times taken."""

@@ -90,6 +90,23 @@ def test_permutations_are_permutations():
             assert sorted(got) == list(range(n))
 
 
+def test_draws_are_multinomial_around_the_weights_and_meet_the_targets():
+    sizes = [1_000_000, 2_000_000, 3_000_000, 640, 0]
+    wanted = mixing.targets(sizes, [1, 2, 3, 1, 2])
+    found = np.array([mixing.draws(sizes, wanted, 64, 16, seed) for seed in range(60)])
+    totals = found.sum(axis=1)
+    assert (totals == totals[0]).all() and np.abs(totals[0] * 64 - np.array(wanted)).max() <= 64
+    assert np.ptp(found.sum(axis=2)) <= 1 and (totals[0] <= 3 * -(-np.array(sizes) // 64)).all()
+    # The first shard is a plain multinomial draw: mean n p, variance n p (1 - p).
+    p = totals[0] / totals[0].sum()
+    n = found[0, 0].sum()
+    for k in range(3):
+        assert found[:, 0, k].mean() == pytest.approx(n * p[k], rel=0.02)
+        assert 0.5 < found[:, 0, k].var() / (n * p[k] * (1 - p[k])) < 1.7
+    assert mixing.draws([], [], 64, 16, 1).shape == (16, 0)
+    assert mixing.draws([10], [30.0], 64, 16, 1).sum() == 3
+
+
 def test_mix_takes_what_blocks_say(docs):
     mix = mixing.Mix(docs, block=8)
     taken = mix.taken().collect()
