@@ -1,18 +1,23 @@
 """Benchmark decontamination: documents that contain test items, found by size-partitioned MinHash.
 
 Items are partitioned by their number of five-word shingles; the partition sets a window width. A document of any
-length is cut into windows of that many shingles, side by side, and each gives its MinHash (the least shingle hash);
-an item gives the MinHash of every window of that width, at every offset. A run of 2 * width - 1 shingles that both
-have holds a whole window, whose MinHash is equal on both sides. The widths are chosen so that an item of which the
-threshold of shingles is in a document always has such a run: an edit inside a text removes at least four shingles,
-so few edits fit under the threshold, and the longest run left is long. That counts each shingle once: an item that
-says a shingle twice is put in width 1, where every shingle that both have is a common window. Pairs found so are verified by the exact
-containment of the item's distinct shingles. Everything is a DataFrame expression.
+length is cut into windows of that many shingles, side by side, and each gives its MinHashes under two permutations
+(the least and the greatest shingle hash); an item gives those of every window of that width, at every offset. A pair
+with an equal MinHash is a candidate. Candidates are verified by the exact containment of the item's distinct shingles.
+
+What is found for certain: a run of 2 * width - 1 shingles that both have holds a whole window, whose MinHashes are
+equal on both sides. The widths are chosen so that one copy of an item, edited in places, always leaves such a run
+while the threshold of shingles is left: an edit inside a text removes at least four shingles, so few edits fit under
+the threshold, and the longest run left is long. Items of under nine shingles, and items that say a shingle twice,
+take width 1, where every shared shingle is a candidate. What is assumed: that a document holds an item as a passage.
+A document that holds 80 % of an item's shingles scattered in runs shorter than two windows is a candidate only if
+some window of it shares an extreme hash with one of the item's; tests measure the recall on such sets.
+Everything is a DataFrame expression.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narrata.llm.common import BROADCAST_ROWS, NEAR, SHINGLE, let, plain_words, settle, shingles, small
@@ -22,10 +27,11 @@ from narrata.llm.common import BROADCAST_ROWS, NEAR, SHINGLE, let, plain_words,
 PARTITIONS = [(1, 1), (9, 4), (40, 6), (200, 8)]
 
 
-def minima(hashes, width: int, step: int):  # noqa: ANN001, ANN201
-    """MinHash of each whole window of `width` shingles, `step` apart."""
+def minima(hashes: Column, width: int, step: int) -> Column:
+    """MinHashes, under two permutations, of each whole window of `width` shingles, `step` apart."""
     count = lambda h: F.floor((F.size(h) - width) / step).cast("int")
-    each = lambda h: F.transform(F.sequence(F.lit(0), count(h)), lambda j: F.array_min(F.slice(h, j * step + 1, width)))
+    both = lambda w: F.array(F.array_min(w), F.array_max(w))
+    each = lambda h: F.flatten(F.transform(F.sequence(F.lit(0), count(h)), lambda j: let(F.slice(h, j * step + 1, width), both)))
     return let(hashes, lambda h: F.when(F.size(h) >= width, h if width == step == 1 else each(h)).otherwise(F.array().cast("array<bigint>")))
 
 

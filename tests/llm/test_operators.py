@@ -413,6 +413,26 @@ def test_containment_matches_brute_force(spark):
         decontaminate.containment(frame, bench, threshold=0.5)
 
 
+def test_recall_on_scattered_sets(spark):
+    """Documents that hold just over the threshold of an item's shingles in short runs, in any order, among other words."""
+    rng = random.Random(21)
+    items = [(k, prose(rng, n)) for k, n in enumerate([14, 20, 30, 44, 60, 100, 150, 204, 230, 300] * 6)]
+    table = []
+    for k, text in items:
+        w, runs, i = text.split(), [], 0
+        while i + 5 <= len(w):
+            # Runs of words that overlap by four keep all shingles; a gap now and then loses four.
+            n = rng.choice([6, 7, 9, 12, 16])
+            runs.append(w[i : i + n])
+            i += n - 4 if rng.random() < 0.97 else n - 3
+        rng.shuffle(runs)
+        table.append((k, " ".join(" ".join([*r, *prose(rng, 3).split()]) for r in runs)))
+    grams = lambda t: {tuple(plain(t)[i : i + 5]) for i in range(len(plain(t)) - 4)}
+    true = {k for (k, x), (_, t) in zip(items, table) if len(grams(x) & grams(t)) / len(grams(x)) >= 0.8}
+    got = decontaminate.containment(spark.createDataFrame(table, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).where("doc_id = item_id").collect()
+    assert len(true) >= 30 and {r.doc_id for r in got} <= true and len(got) >= 0.97 * len(true)
+
+
 # --- quality rules
 
 
