@@ -8,9 +8,11 @@ weight costs its logarithm and most shingles a point or two.
 
 Signatures are cut in bands; documents with an equal band are compared by the exact overlap of their bags. Exact
 copies (equal words in equal order) are one node from the start. First all nodes of a bucket are compared with one
-leader, which differs between bands. The nodes of buckets that still hold more than one group are then compared
-with each other wherever an exact prefix filter allows a similarity that high and the groups differ. So no link
-between groups is lost, a large group costs few comparisons, and a passage that many documents share costs none.
+leader, which differs between bands. The nodes of buckets that still hold more than one group then meet wherever an
+exact prefix, position and length filter allows a similarity that high and the groups differ: in rounds with the
+centre of each shared element, until nearly all that belongs together is one group, and what is still allowed in
+pairs. So no link between groups is lost, a large group costs few comparisons, and a passage that many documents
+share costs none.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from narrata.llm.common import BROADCAST_ROWS, NEAR, let, plain_words, settle, s
 BANDS, ROWS = 30, 5
 #: Orders that pick the leaders, one for every so many bands: a node meets up to this many leaders in the first round.
 LEADERS = 4
+#: Rounds, at most, in which nodes of open buckets meet centres before the pairs that are left are compared.
+ROUNDS = 3
 #: Shingles that the signature code holds in memory at a time; one longer document is taken alone.
 CHUNK = 400_000
 
@@ -138,15 +142,13 @@ def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """doc_id, text's words and node: 64 bits of the MD5 of the words in order; null for a text without words."""
+    """doc_id, text's words and node: the MD5 of the words in order, 16 bytes; null for a text without words."""
     found = docs.select("doc_id", plain_words(F.col("text")).alias("words"))
     return found.withColumn("node", node(F.col("words")))
 
 
 def node(found: Column) -> Column:
-    digest = F.md5(F.array_join(found, " "))
-    high, low = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.conv(F.substring(digest, 9, 8), 16, 10).cast("bigint")
-    return F.when(F.size(found) > 0, F.shiftleft(high, 32).bitwiseOR(low))
+    return F.when(F.size(found) > 0, F.unhex(F.md5(F.array_join(found, " "))))
 
 
 def shingle_bag(found: Column) -> Column:
@@ -172,24 +174,78 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def open_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of nodes (node, root, bag) of different roots that may be similar: the exact prefix filter.
+def entries(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(e, node, n, lim): the elements by which nodes (node, bag) may meet, under an exact prefix and position filter.
 
-    Elements are ordered by how many of these bags have them. Two bags of similarity t share at least one element
-    among the first n - ceil(t * n) + 1 of each, so a passage that thousands of bags share makes no pairs.
+    Elements are ordered by how many of these bags have them, rarest first. If e is the first element that bags a and
+    b share, their overlap is at most what a has from e on. Similarity t needs t / (1 + t) * (n_a + n_b), so b's size
+    is at most lim, and at least t * n_a, or e cannot be the first: such entries are left out, and so are elements of
+    a single bag. A passage that thousands of bags share stands at the end of their orders and mostly drops out.
     """
-    each = nodes.select("node", "root", F.size("bag").alias("n"), F.explode("bag").alias("e"))
-    counts = each.groupBy("e").agg(F.count("*").alias("c"))
-    ordered = each.join(counts, "e").groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("c", "e"))).alias("o"))
+    each = nodes.select("node", F.size("bag").alias("n"), F.explode("bag").alias("e"))
+    counts = each.groupBy("e").agg(F.count("*").alias("c")).where("c > 1")
+    ordered = each.join(counts, "e", "left").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "e"))).alias("o"))
     prefix = F.slice("o", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
-    rare = settle(ordered.select("node", "root", "n", F.explode(prefix).alias("p")).where("p.c > 1").select("node", "root", "n", F.col("p.e").alias("e")))
-    mixed = rare.groupBy("e").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("e")
-    left = rare.join(mixed, "e")
-    right = left.select("e", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-    met = left.join(right, "e").where((F.col("node") < F.col("x")) & (F.col("root") != F.col("rx")) & (F.least("n", "nx") >= threshold * F.greatest("n", "nx")))
+    placed = ordered.select("node", "n", F.posexplode(prefix).alias("i", "p")).where("p.c > 1")
+    most = F.floor((F.col("n") - F.col("i")) * ((1 + threshold) / threshold) + 1e-9) - F.col("n")
+    return placed.select(F.col("p.e").alias("e"), "node", "n", most.alias("lim"))
+
+
+def crossing(found: DataFrame) -> DataFrame:
+    """Of entries with roots, those that some entry of the same element and another root may go with by both limits.
+
+    For each element only the least size and the greatest limit of the best root, and of all others, are kept: sums of
+    constant size, however many nodes share the element.
+    """
+    best = found.groupBy("e").agg(F.min(F.struct("n", "root")).alias("s"), F.max(F.struct("lim", "root")).alias("g"))
+    both = found.join(best, "e")
+    other = both.groupBy("e").agg(F.min(F.when(F.col("root") != F.col("s.root"), F.col("n"))).alias("n2"), F.max(F.when(F.col("root") != F.col("g.root"), F.col("lim"))).alias("lim2"))
+    both = both.join(other.where("n2 is not null"), "e")
+    least = F.when(F.col("root") != F.col("s.root"), F.col("s.n")).otherwise(F.col("n2"))
+    most = F.when(F.col("root") != F.col("g.root"), F.col("g.lim")).otherwise(F.col("lim2"))
+    return both.where((least <= F.col("lim")) & (most >= F.col("n"))).select("e", "node", "n", "lim", "root")
+
+
+def central(found: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each entry and its element's centre: the node with the greatest share of its bag from there on,
+    which is the one with the least of its own. What is similar to anything there is mostly similar to the centre."""
+    lead = found.groupBy("e").agg(F.max(F.struct((F.col("lim") / F.col("n")).alias("share"), "node", "n", "lim", "root")).alias("l"))
+    met = found.join(lead, "e").where((F.col("root") != F.col("l.root")) & (F.col("n") <= F.col("l.lim")) & (F.col("l.n") <= F.col("lim")))
+    return met.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
+
+
+def remaining(found: DataFrame) -> DataFrame:
+    """Pairs (a, b) of all entries of one element and different roots that both limits allow."""
+    right = found.select("e", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("lim").alias("lx"), F.col("root").alias("rx"))
+    met = found.join(right, "e").where((F.col("node") < F.col("x")) & (F.col("root") != F.col("rx")) & (F.col("nx") <= F.col("lim")) & (F.col("n") <= F.col("lx")))
     return met.select(F.col("node").alias("a"), F.col("x").alias("b")).distinct()
 
 
+def open_links(nodes: DataFrame, bag: DataFrame, threshold: float) -> DataFrame | None:
+    """Links (a, b) between the roots of nodes (node, root, bag), as many as join all that belong together; None if none.
+
+    Rounds compare entries with their element's centre and put together what is linked, until a round links nothing or
+    ROUNDS are over; each leaves fewer entries that cross roots. All pairs still allowed are then compared. Every
+    comparison is of whole bags.
+    """
+    home = nodes.select("node", "root")
+    found, now, merges = settle(entries(nodes.select("node", "bag"), threshold)), home, None
+    for turn in range(ROUNDS + 1):
+        crossed = settle(crossing(crossing(found.join(now, "node"))))
+        links = settle(similar(remaining(crossed) if turn == ROUNDS else central(crossed), bag, threshold).select("a", "b"))
+        if not links.head(1):
+            if turn < ROUNDS:
+                links = settle(similar(remaining(crossed), bag, threshold).select("a", "b"))
+            turn = ROUNDS
+        ends = [home.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab"]
+        added = links.join(ends[0], "a").join(ends[1], "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        merges = settle((merges.unionByName(added) if merges else added).distinct())
+        if turn == ROUNDS:
+            return merges if merges.head(1) else None
+        top = components(merges).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        now = home.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+
+
 def similar(pairs: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
     """Of the pairs (a, b), those whose bags overlap by the threshold or more: exact weighted Jaccard similarity."""
     met = pairs.join(bag.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b").join(bag.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a")
@@ -207,7 +263,7 @@ def classes(docs: DataFrame, threshold: float = NEAR, bands: int = BANDS, rows:
     greatest; a group of null ids has class null. An empty table gives an empty result; other columns are not read.
     """
     found = identified(docs).select("doc_id", "node", shingle_bag(F.col("words")).alias("h"))
-    signed = settle(found.mapInArrow(band_rows(bands, rows), "doc_id bigint, node bigint, n bigint, bands array<bigint>"))
+    signed = settle(found.mapInArrow(band_rows(bands, rows), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node binary, n bigint, bands array<bigint>"))
     nodes = settle(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     every = nodes.select("node", "n", F.posexplode("bands").alias("band", "hash"))
     shared = every.groupBy("band", "hash").agg(F.count("*").alias("c")).where("c > 1").drop("c")
@@ -218,7 +274,7 @@ def classes(docs: DataFrame, threshold: float = NEAR, bands: int = BANDS, rows:
     own = docs.select(F.col("doc_id").alias("d"), "text").join(marked, F.col("d").eqNullSafe(F.col("least")))
     # The comparison waits for Python: in the plan it would become a join key and be computed for every row.
     texts = own.select("node", plain_words(F.col("text")).alias("words")).select("node", node(F.col("words")).alias("own"), shingle_bag(F.col("words")).alias("h"))
-    bag = settle(texts.mapInArrow(elements, "node bigint, bag array<bigint>").groupBy("node").agg(F.first("bag").alias("bag")))
+    bag = settle(texts.mapInArrow(elements, "node binary, bag array<bigint>").groupBy("node").agg(F.first("bag").alias("bag")))
     near = F.least("n", "nx") >= threshold * F.greatest("n", "nx")
     ends = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
     lead = buckets.groupBy("band", "hash").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node", F.col("band") % LEADERS)).alias("lead"))
@@ -228,12 +284,12 @@ def classes(docs: DataFrame, threshold: float = NEAR, bands: int = BANDS, rows:
     rooted = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = rooted.groupBy("band", "hash").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("band", "hash")
     left = settle(rooted.join(split, ["band", "hash"]).select("node", "root").distinct().join(bag, "node"))
-    rest = open_pairs(left, threshold)
-    more = settle(similar(rest, bag, threshold))
-    if more.head(1):
-        roots = components(edges.unionByName(more))
+    merges = open_links(left, bag, threshold)
     first = F.min(F.struct(F.col("least").isNull(), "least", "node")).alias("top")
     rooted = nodes.select("node", "least", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    if merges:
+        top = components(merges).select(F.col("node").alias("root"), F.col("root").alias("_top"))
+        rooted = rooted.join(top, "root", "left").withColumn("root", F.coalesce("_top", "root")).drop("_top")
     tops = rooted.groupBy("root").agg(first, F.sum("copies").alias("class_size"))
     by_node = rooted.join(tops, "root").select(F.col("node").alias("_node"), F.col("top.least").alias("class_id"), F.col("top.node").alias("top_node"), "class_size")
     alone = F.col("node").isNull()
