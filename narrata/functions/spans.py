@@ -282,16 +282,15 @@ def apply_diff(old: str, patch: str) -> str:
 
 
 def invert_diff(patch: str) -> str:
-    """The diff that leads back."""
-
-    def turned(line: str) -> str:
+    """The diff that leads back. Lines before the first hunk are headers; in a hunk every line is content by its first sign."""
+    out, inside = [], False
+    for line in patch.split("\n"):
         if m := re.match(r"@@ (-\S+) (\+\S+) @@", line):
-            return f"@@ -{m[2][1:]} +{m[1][1:]} @@"
-        if line.startswith(("--- ", "+++ ")):
-            return line
-        return {"+": "-", "-": "+"}.get(line[:1], line[:1]) + line[1:]
-
-    return "\n".join(turned(line) for line in patch.split("\n"))
+            inside = True
+            out.append(f"@@ -{m[2][1:]} +{m[1][1:]} @@")
+        else:
+            out.append({"+": "-", "-": "+"}.get(line[:1], line[:1]) + line[1:] if inside else line)
+    return "\n".join(out)
 
 
 def significant(patch: str, least: int = 1) -> bool:

@@ -88,16 +88,22 @@ def alias_variants(name: Column) -> Column:
     return F.array_distinct(F.filter(forms, lambda v: v.isNotNull()))
 
 
+def name_parts(name: Column) -> Column:
+    """What names are compared by: n, normalised; t, the title or null; w, the distinct tokens."""
+    return F.struct(normalise_name(name).alias("n"), title(name).alias("t"), F.array_distinct(name_tokens(name)).alias("w"))
+
+
+def parts_alias(x: Column, y: Column) -> Column:
+    """alias_score of two names given by their parts."""
+    overlap, inside = jaccard(x["w"], y["w"]), (F.length(x["n"]) >= 2) & (F.length(y["n"]) >= 2) & (F.contains(x["n"], y["n"]) | F.contains(y["n"], x["n"]))
+    same = F.coalesce(x["t"] == y["t"], F.lit(False))
+    return F.when(x["n"] == y["n"], F.lit(1.0)).when(inside, F.lit(0.85)).when(same, F.lit(0.7)).when(overlap > 0, 0.5 + overlap * 0.3).otherwise(F.lit(0.0))
+
+
 def alias_score(a: Column, b: Column) -> Column:
     """1 for equal normalised names, .85 if one holds the other, .7 for one title, .5 + .3 * overlap, else 0."""
-    overlap = token_overlap(a, b)
-    return (
-        F.when(normalise_name(a) == normalise_name(b), F.lit(1.0))
-        .when(substring_match(a, b), F.lit(0.85))
-        .when(share_title(a, b), F.lit(0.7))
-        .when(overlap > 0, 0.5 + overlap * 0.3)
-        .otherwise(F.lit(0.0))
-    )
+    # Bound once, or each comparison would normalise both names again.
+    return F.get(F.transform(F.array(F.struct(name_parts(a).alias("a"), name_parts(b).alias("b"))), lambda p: parts_alias(p["a"], p["b"])), F.lit(0))
 
 
 def edit_similarity(a: Column, b: Column) -> Column:

@@ -92,7 +92,7 @@ def _(m: Model) -> DataFrame:
 
 
 #: The head of each text beside the head of the next: what overlaps are tried on.
-HEADS = r""", h AS (SELECT id, substr(body, 1, 300) AS a, lead(substr(body, 100, 300)) OVER (PARTITION BY source ORDER BY id) AS b FROM texts),
+HEADS = r""", h AS (SELECT id, body AS a, lead(body) OVER (PARTITION BY source ORDER BY id) AS b FROM texts),
 g AS (SELECT id, list_filter(regexp_split_to_array(lower(a), '\s+'), lambda x: x <> '') AS wa, list_filter(regexp_split_to_array(lower(b), '\s+'), lambda x: x <> '') AS wb FROM h WHERE b IS NOT NULL),
 k AS (SELECT *, list_distinct(wa) AS da, list_distinct(list_transform(range(1, len(wa) - 1), lambda i: concat(wa[i], ' ', wa[i+1], ' ', wa[i+2]))) AS ga, list_transform(range(1, len(wb) - 1), lambda i: concat(wb[i], ' ', wb[i+1], ' ', wb[i+2])) AS gb,
   list_distinct(list_filter(wa, lambda x: length(x) > 2)) AS la, list_distinct(list_filter(wb, lambda x: length(x) > 2)) AS lb FROM g)"""
@@ -123,14 +123,15 @@ def _(m: Model) -> DataFrame:
     return m.names.select("id", tx.proper_noun(c("name")).alias("proper"))
 
 
-@query("f16_pronoun_filter", f"SELECT id, w FROM (SELECT id, unnest(string_split(substr(body, 1, 400), ' ')) AS w FROM texts WHERE lang = 'en') WHERE lower(trim(w)) NOT IN ({', '.join(repr(x) for x in tx.PRONOUNS)}) AND w <> ''")
+@query("f16_pronoun_filter", f"SELECT id, w FROM (SELECT id, unnest(string_split(body, ' ')) AS w FROM texts) WHERE lower(trim(w)) NOT IN ({', '.join(repr(x) for x in tx.PRONOUNS)}) AND w <> ''")
 def _(m: Model) -> DataFrame:
     split = m.texts.select("id", F.explode(F.split("body", " ")).alias("w"))
     return split.where(~tx.pronoun(c("w")) & (c("w") != ""))
 
 
-@query("f17_description", "SELECT node_id, nullif(substr(string_agg(content, ', ' ORDER BY id), 1, 200), '') AS description FROM facets WHERE kind <> 'name' GROUP BY node_id")
+@query("f17_description", "SELECT node_id, nullif(substr(string_agg(content, ', ' ORDER BY id, content), 1, 200), '') AS description FROM facets WHERE kind <> 'name' GROUP BY node_id")
 def _(m: Model) -> DataFrame:
+    """Facets in order of id, then of content where ids are equal."""
     parts = F.transform(F.sort_array(F.collect_list(F.struct("id", "content"))), lambda x: x["content"])
     return m.facets.where("kind <> 'name'").groupBy("node_id").agg(tx.describe(parts).alias("description"))
 

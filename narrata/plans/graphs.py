@@ -40,7 +40,7 @@ def _(m: Model) -> DataFrame:
     return gr.guarded(causal, wanted)
 
 
-PROPOSED = ", proposed AS (SELECT id, dst AS src, src AS dst FROM live WHERE edge_type = 'PREVENTS' AND id % 5 = 0)"
+PROPOSED = ", proposed AS (SELECT id, dst AS src, src AS dst FROM live WHERE edge_type = 'PREVENTS')"
 
 
 @query("g5_would_cycle", f"""{LIVE}{PROPOSED}, step AS (SELECT DISTINCT src, dst FROM live WHERE edge_type IN {IN}), reach AS (SELECT p.dst AS start, s.dst AS node FROM proposed p JOIN step s ON s.src = p.dst UNION SELECT r.start, s.dst FROM reach r JOIN step s ON s.src = r.node)
@@ -50,7 +50,7 @@ def _(m: Model) -> DataFrame:
     return gr.would_cycle(live, live.where("edge_type = 'PREVENTS'").select("id", c("dst").alias("src"), c("src").alias("dst")))
 
 
-@query("g6_reachability", f"""{STEP}, reach AS (SELECT n.id AS start, s.dst AS node FROM nodes n JOIN step s ON s.src = n.id WHERE n.id % 20 = 1 UNION SELECT r.start, s.dst FROM reach r JOIN step s ON s.src = r.node) SELECT start, node FROM reach""")
+@query("g6_reachability", f"""{STEP}, reach AS (SELECT n.id AS start, s.dst AS node FROM nodes n JOIN step s ON s.src = n.id UNION SELECT r.start, s.dst FROM reach r JOIN step s ON s.src = r.node) SELECT start, node FROM reach""")
 def _(m: Model) -> DataFrame:
     return gr.reachable(m.nodes.select(c("id").alias("start")), visible(m).where(c("edge_type").isin("CAUSES", "ENABLES")))
 
@@ -108,7 +108,7 @@ def _(m: Model) -> DataFrame:
     return m.states.join(m.nodes.where("not deleted").select(c("id").alias("character_id")), "character_id", "left_semi").select("id", "character_id")
 
 
-@query("g17_move_facets", """SELECT f.id, (SELECT max(s.id) FROM states s WHERE s.character_id = f.document_id % 9 AND s.document_order = (SELECT max(t.document_order) FROM states t WHERE t.character_id = f.document_id % 9 AND t.document_order <= f.start_at)) AS state FROM mentions f WHERE id % 5 = 0""")
+@query("g17_move_facets", """SELECT f.id, (SELECT max(s.id) FROM states s WHERE s.character_id = f.document_id % 9 AND s.document_order = (SELECT max(t.document_order) FROM states t WHERE t.character_id = f.document_id % 9 AND t.document_order <= f.start_at)) AS state FROM mentions f""")
 def _(m: Model) -> DataFrame:
     return rel.as_of(points(m), m.states.withColumnRenamed("id", "state"), "character_id", "at", "document_order", "state").select("id", "state")
 
@@ -169,7 +169,7 @@ def _(m: Model) -> DataFrame:
     return vec.nearest(m.vectors, first_vector(m), 15).select("id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("v3_filtered_knn", f"SELECT id, round({COS.format('vec', QUERY)}, 6) AS similarity FROM vectors ORDER BY {COS.format('vec', QUERY)} DESC, id LIMIT 15")
+@query("v3_filtered_knn", f"SELECT id, round({COS.format('vec', QUERY)}, 6) AS similarity FROM vectors WHERE document_id = 1 AND id IN (SELECT id FROM nodes WHERE NOT deleted AND user_id = 1) ORDER BY {COS.format('vec', QUERY)} DESC, id LIMIT 15")
 def _(m: Model) -> DataFrame:
     """Exact after the filter: vectors of one document whose node is active and belongs to one user."""
     own = m.nodes.where("not deleted and user_id = 1").select("id")
@@ -192,10 +192,12 @@ def _(m: Model) -> DataFrame:
     return vec.pairs(m.vectors, "kind", 0.6, blocks=2).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query("v6_similarity_matrix", f"SELECT a.id AS a, b.id AS b, CASE WHEN a.id = b.id THEN 1.0::DOUBLE WHEN a.kind <> b.kind THEN 0.0 ELSE round({COS.format('a.vec', 'b.vec')}, 6) END AS similarity FROM vectors a, vectors b WHERE a.id < 40 AND b.id < 40")
+@query("v6_similarity_matrix", f"SELECT a.id AS a, b.id AS b, CASE WHEN a.id = b.id THEN 1.0::DOUBLE WHEN a.kind <> b.kind THEN 0.0 ELSE round({COS.format('a.vec', 'b.vec')}, 6) END AS similarity FROM vectors a, vectors b WHERE a.id % 50 = 0")
 def _(m: Model) -> DataFrame:
-    own = m.vectors.select("id", "kind", "vec")
-    other = own.select(c("id").alias("b"), c("kind").alias("k"), c("vec").alias("w"))
+    """Rows of the matrix for the query vectors, those with an id divisible by 50, against all."""
+    every = m.vectors.select("id", "kind", "vec")
+    own = every.where("id % 50 = 0")
+    other = every.select(c("id").alias("b"), c("kind").alias("k"), c("vec").alias("w"))
     value = F.when(c("id") == c("b"), lit(1.0)).when(c("kind") != c("k"), lit(0.0)).otherwise(F.round(vec.cosine(c("vec"), c("w")), 6))
     return vec.product(own, other, "id", "b").select(c("id").alias("a"), "b", value.alias("similarity"))
 
@@ -206,10 +208,11 @@ def _(m: Model) -> DataFrame:
 
 
 @query("v8_entity_sentence_relevance", """, parts AS (SELECT kind, i, avg(x) AS v FROM (SELECT kind, unnest(vec)::DOUBLE AS x, unnest(range(64)) AS i FROM vectors) GROUP BY kind, i), means AS (SELECT kind, list(v ORDER BY i) AS centre FROM parts GROUP BY kind),
-e AS (SELECT id AS entity, vec AS v FROM vectors ORDER BY id LIMIT 5), b AS (SELECT entity, id, 0.67::DOUBLE * greatest(0, list_cosine_similarity(vec::DOUBLE[], e.v::DOUBLE[])) + 0.33::DOUBLE * greatest(0, list_cosine_similarity(centre, e.v::DOUBLE[])) AS x FROM vectors JOIN means USING (kind), e)
+e AS (SELECT id AS entity, vec AS v FROM vectors WHERE id % 50 = 0), b AS (SELECT entity, id, 0.67::DOUBLE * greatest(0, list_cosine_similarity(vec::DOUBLE[], e.v::DOUBLE[])) + 0.33::DOUBLE * greatest(0, list_cosine_similarity(centre, e.v::DOUBLE[])) AS x FROM vectors JOIN means USING (kind), e)
 SELECT entity, id, round(0.5 * (1 - cos(pi() * greatest(0, least(1, x)))), 6) AS relevance FROM b""")
 def _(m: Model) -> DataFrame:
-    return vec.relevance(m.vectors, m.vectors, "kind").withColumn("relevance", F.round("relevance", 6))
+    """Entities are the query vectors, those with an id divisible by 50; sentences are all."""
+    return vec.relevance(m.vectors, m.vectors.where("id % 50 = 0"), "kind").withColumn("relevance", F.round("relevance", 6))
 
 
 @query("v9_embedding_cache", "SELECT n.id, o.hash IS NOT NULL AS hit FROM new_segments n LEFT JOIN (SELECT DISTINCT hash FROM old_segments) o USING (hash)")

@@ -60,7 +60,7 @@ def _(m: Model) -> DataFrame:
 
 @query("s7_markdown_to_text", r"""SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(concat('## ', body, chr(10), '# ', url, ' **bold** *it* `code` [link](http://x)'),
   '(?m)^#{1,6}\s+', '', 'g'), '\*\*([^*]+)\*\*', '\1', 'g'), '\*([^*]+)\*', '\1', 'g'), '`([^`]+)`', '\1', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g') AS plain
-  FROM (SELECT id, url, substr(html, 1, 60) AS body FROM web)""")
+  FROM (SELECT id, url, html AS body FROM web)""")
 def _(m: Model) -> DataFrame:
     marked = F.concat(lit("## "), "html", lit("\n# "), "url", lit(" **bold** *it* `code` [link](http://x)"))
     return m.web.select("id", tx.markdown_text(marked).alias("plain"))
@@ -340,7 +340,7 @@ def _(m: Model) -> DataFrame:
     return m.new_segments.join(m.old_segments.select("hash"), "hash", "left_semi").select("id")
 
 
-POINTS = ", points AS (SELECT id, document_id % 9 AS character_id, start_at AS at FROM mentions WHERE id % 5 = 0)"
+POINTS = ", points AS (SELECT id, document_id % 9 AS character_id, start_at AS at FROM mentions)"
 AS_OF = "(SELECT max(s.id) FROM states s WHERE s.character_id = p.character_id AND s.document_order = (SELECT max(t.document_order) FROM states t WHERE t.character_id = p.character_id AND t.document_order <= p.at))"
 FIRST = "(SELECT min(s.id) FROM states s WHERE s.character_id = p.character_id AND s.document_order = (SELECT min(t.document_order) FROM states t WHERE t.character_id = p.character_id))"
 

@@ -18,8 +18,12 @@ from narrata.sources.model import Model
 from narrata.streaming import usage as us
 
 c, lit = F.col, F.lit
-TOKENS = f", tokens AS (SELECT id, document_id, kind, name, n, unnest(list_distinct(list_filter(string_split(n, ' '), lambda w: length(w) > 1))) AS token FROM (SELECT *, {norm_sql('name')} AS n FROM names))"
-BLOCKS = f"{TOKENS}, blocks AS (SELECT DISTINCT a.id AS a, b.id AS b FROM tokens a JOIN tokens b USING (document_id, kind, token) WHERE a.id % 100 < 50 AND b.id % 100 >= 50)"
+#: Double Metaphone's primary codes of the tokens that the names of the tables have.
+CODES = "harry HR, jonathan JN0N, mina MN, lucy LS, arthur AR0R, quincey KNS, john JN, abraham APRH, wilhelmina ALLM, renfield RNFL, vlad FLT, potter PTR, harker HRKR, murray MR, westenra ASTN, dracula TRKL"
+CODED = f"(VALUES {', '.join(f'({x!r}, {y!r})' for x, y in (pair.split() for pair in CODES.split(', ')))}) AS t(token, code)"
+TOKENS = f", tokens AS (SELECT id, document_id, kind, unnest(list_distinct(list_filter(string_split(n, ' '), lambda w: length(w) > 1))) AS token FROM (SELECT *, {norm_sql('name')} AS n FROM names))"
+BLOCKS = f"""{TOKENS}, said AS (SELECT id, document_id, kind, '=' || token AS block FROM tokens UNION SELECT id, document_id, kind, '~' || code FROM tokens JOIN {CODED} USING (token) WHERE length(code) >= 2),
+blocks AS (SELECT DISTINCT a.id AS a, b.id AS b FROM said a JOIN said b ON a.document_id = b.document_id AND a.kind = b.kind AND a.block = b.block AND a.id < b.id)"""
 
 
 def blocks(m: Model) -> DataFrame:
@@ -31,8 +35,8 @@ def _(m: Model) -> DataFrame:
     return blocks(m)
 
 
-@query("j23_facet_linking", """, low AS (SELECT id, node_id, lower(content) AS content FROM facets), hits AS (SELECT m.id, f.id AS facet, row_number() OVER (PARTITION BY m.id ORDER BY length(f.content) DESC, f.id) AS r FROM mentions m JOIN low f ON f.node_id = m.node_id WHERE m.id % 3 = 0 AND contains(concat(lower(m.source), 'o', CAST(m.start_at AS STRING), 'f', CAST(m.start_at AS STRING)), f.content))
-SELECT m.id, h.facet FROM mentions m LEFT JOIN hits h ON h.id = m.id AND h.r = 1 WHERE m.id % 3 = 0""")
+@query("j23_facet_linking", """, low AS (SELECT id, node_id, lower(content) AS content FROM facets), hits AS (SELECT m.id, f.id AS facet, row_number() OVER (PARTITION BY m.id ORDER BY length(f.content) DESC, f.id) AS r FROM mentions m JOIN low f ON f.node_id = m.node_id WHERE contains(concat(lower(m.source), 'o', CAST(m.start_at AS STRING), 'f', CAST(m.start_at AS STRING)), f.content))
+SELECT m.id, h.facet FROM mentions m LEFT JOIN hits h ON h.id = m.id AND h.r = 1""")
 def _(m: Model) -> DataFrame:
     said = F.concat(F.lower("source"), lit("o"), c("start_at").cast("string"), lit("f"), c("start_at").cast("string"))
     own = m.mentions.select("id", "node_id", said.alias("said"))
@@ -68,26 +72,27 @@ def _(m: Model) -> DataFrame:
     return both.select("id", "code_a", "code_b", phonetic_match(c("code_a"), c("code_b")).alias("match"))
 
 
-SIGNALS = f"""{BLOCKS}, n AS (SELECT id, name, kind, {norm_sql('name')} AS n FROM names), s0 AS (SELECT a, b, x.kind, x.n AS na, y.n AS nb, (a * b % 97) / 97.0::DOUBLE AS emb FROM blocks JOIN n x ON x.id = a JOIN n y ON y.id = b),
+SIGNALS = f"""{BLOCKS}, n AS (SELECT id, name, kind, {norm_sql('name')} AS n, vec FROM names JOIN name_vectors USING (id)),
+s0 AS (SELECT a, b, x.kind, x.n AS na, y.n AS nb, greatest(0, list_cosine_similarity(x.vec::DOUBLE[], y.vec::DOUBLE[])) AS emb FROM blocks JOIN n x ON x.id = a JOIN n y ON y.id = b),
 s1 AS (SELECT *, CASE WHEN na = nb THEN 1.0::DOUBLE WHEN contains(na, nb) OR contains(nb, na) THEN 0.9 ELSE NULL END AS fast, list_distinct(list_filter(string_split(na, ' '), lambda w: length(w) > 1)) AS xa, list_distinct(list_filter(string_split(nb, ' '), lambda w: length(w) > 1)) AS xb FROM s0),
 s2 AS (SELECT *, len(list_intersect(xa, xb)) / len(list_distinct(list_concat(xa, xb))) AS j FROM s1), titles AS (SELECT id, nullif(lower(regexp_extract(name, '(?i){tx.TITLE}', 1)), '') AS t FROM names),
 s3 AS (SELECT s2.*, coalesce(fast, greatest(CASE WHEN ta.t = tb.t THEN 0.7 WHEN j > 0 THEN 0.5 + 0.3 * j ELSE 0 END, 0.8 * j, 0.7 * (1 - levenshtein(na, nb) / greatest(length(na), length(nb))))) AS name FROM s2 JOIN titles ta ON ta.id = a JOIN titles tb ON tb.id = b),
 s4 AS (SELECT *, CASE kind WHEN 'character' THEN 0.5 * emb + 0.3 * name + 0.1 WHEN 'event' THEN 0.55 * emb + 0.2 * name + 0.1 WHEN 'concept' THEN 0.6 * emb + 0.15 * name + 0.1 ELSE 0.4 * emb + 0.4 * name + 0.1 END AS score, list_filter([emb, name, 1.0], lambda v: v > 0) AS vals FROM s3),
-s5 AS (SELECT *, 1 - least(list_var_pop(vals) / 0.25, 1) AS sure FROM s4)"""
+s5 AS (SELECT *, 1 - least((list_sum(list_transform(vals, lambda v: v * v)) / len(vals) - pow(list_avg(vals), 2)) / 0.25, 1) AS sure FROM s4)"""
+
+
+def entities(m: Model) -> DataFrame:
+    """Every name with a vector: names outnumber vectors, so these are taken in turn."""
+    return m.names.join(m.name_vectors, "id").select("document_id", (c("id") % 3).alias("segment"), "id", "name", "kind", "vec")
 
 
 def signals(m: Model) -> DataFrame:
-    """Blocked pairs with their signals; the embedding signal is a fixture number."""
-    named = lambda k: m.names.select(c("id").alias(k), c("name").alias(f"name_{k}"), c("kind").alias(f"kind_{k}"))
-    both = blocks(m).join(named("a"), "a").join(named("b"), "b")
-    scored = both.withColumns({"emb": (c("a") * c("b") % 97) / 97.0, "name": er.name_similarity(c("name_a"), c("name_b")), "type": er.type_match(c("kind_a"), c("kind_b"))})
-    parts = [c("emb"), c("name"), c("type"), lit(0.0)]
-    return scored.withColumn("score", er.weighted_score(c("kind_a"), parts)).withColumn("sure", er.confidence(parts))
+    return er.signals(blocks(m), entities(m), entities(m))
 
 
-@query("e1_signals", f"{SIGNALS} SELECT a, b, round(name, 9) AS name, 1.0::DOUBLE AS type FROM s5")
+@query("e1_signals", f"{SIGNALS} SELECT a, b, round(emb, 9) AS emb, round(name, 9) AS name, 1.0::DOUBLE AS type FROM s5")
 def _(m: Model) -> DataFrame:
-    return signals(m).select("a", "b", F.round("name", 9).alias("name"), "type")
+    return signals(m).select("a", "b", F.round("emb", 9).alias("emb"), F.round("name", 9).alias("name"), "type")
 
 
 @query("e2_weighted_score", f"{SIGNALS} SELECT a, b, round(score, 9) AS score FROM s5")
@@ -95,12 +100,12 @@ def _(m: Model) -> DataFrame:
     return signals(m).select("a", "b", F.round("score", 9).alias("score"))
 
 
-@query("e3_confidence", f"{SIGNALS.replace('list_var_pop(vals)', '(list_sum(list_transform(vals, lambda v: v * v)) / len(vals) - pow(list_avg(vals), 2))')} SELECT a, b, round(sure, 6) AS sure FROM s5")
+@query("e3_confidence", f"{SIGNALS} SELECT a, b, round(sure, 6) AS sure FROM s5")
 def _(m: Model) -> DataFrame:
     return signals(m).select("a", "b", F.round("sure", 6).alias("sure"))
 
 
-DECIDED = SIGNALS.replace("list_var_pop(vals)", "(list_sum(list_transform(vals, lambda v: v * v)) / len(vals) - pow(list_avg(vals), 2))") + ", d AS (SELECT a, b, CASE WHEN score < 0.5 OR (score >= 0.7 AND name < 0.3) THEN 'CREATE' WHEN score >= 0.85 OR (sure > 0.7 AND score > 0.65) THEN 'MERGE' ELSE 'REVIEW' END AS decision, score, sure FROM s5)"
+DECIDED = SIGNALS + ", d AS (SELECT a, b, CASE WHEN score < 0.5 OR (score >= 0.7 AND name < 0.3) THEN 'CREATE' WHEN score >= 0.85 OR (sure > 0.7 AND score > 0.65) THEN 'MERGE' ELSE 'REVIEW' END AS decision, score, sure FROM s5)"
 
 
 @query("e4_decision", f"{DECIDED} SELECT a, b, decision FROM d")
@@ -114,34 +119,35 @@ def _(m: Model) -> DataFrame:
     return signals(m).select("a", "b", er.needs_refinement(chosen, c("score"), c("sure")).alias("refine"))
 
 
-def candidates(m: Model) -> DataFrame:
-    """Every name with a vector; names outnumber vectors, so places among the vectors are taken in turn."""
-    vectors = m.vectors.select((F.row_number().over(Window.orderBy("id")) - 1).cast("bigint").alias("v"), "vec")
-    return m.names.withColumn("v", c("id") % m.vectors.count()).join(vectors, "v").select("document_id", (c("id") % 3).alias("segment"), "id", "name", "kind", "vec")
-
-
 @query("e6_segment_clusters")
 def _(m: Model) -> DataFrame:
-    return er.clusters(candidates(m), ["document_id", "segment"])
+    return er.clusters(entities(m), ["document_id", "segment"])
 
 
 @query("e7_cross_segment_merge")
 def _(m: Model) -> DataFrame:
-    near = signals(m).where("score > 0.6").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), c("score").alias("similarity"))
-    return er.merge_clusters(near)
+    own = entities(m)
+    return er.merge_clusters(er.cluster_table(own, er.clusters(own, ["document_id", "segment"]), ["document_id"]))
+
+
+def parties(m: Model) -> tuple[DataFrame, DataFrame]:
+    """The extracted and the existing entities of the resolvers: each document's names in turns."""
+    return entities(m).where("id div 50 % 2 = 0"), entities(m).where("id div 50 % 2 = 1")
 
 
 @query("e8_resolver")
 def _(m: Model) -> DataFrame:
-    """Counts of decisions for each entity's best candidate, by kind."""
-    best = er.best_candidates(signals(m))
-    return best.groupBy("kind_a", er.decision(c("score"), c("sure"), c("name"), c("type")).alias("decision")).agg(F.count("*").alias("n"))
+    """Each document's statistics after the whole resolver ran."""
+    return er.resolution_statistics(er.resolve(*parties(m)))
 
 
-@query("e9_registry_match", f", known AS (SELECT lower(trim(name)) AS key, min(id) AS exact FROM names WHERE id % 2 = 1 GROUP BY 1), al AS (SELECT {norm_sql('name')} AS key, min(id) AS alias FROM names WHERE id % 2 = 1 GROUP BY 1) SELECT n.id, coalesce(exact, alias) AS match, CASE WHEN exact IS NOT NULL THEN 'name' WHEN alias IS NOT NULL THEN 'alias' ELSE 'new' END AS how FROM names n LEFT JOIN known k ON k.key = lower(trim(n.name)) LEFT JOIN al ON al.key = lower(trim(n.name)) WHERE n.id % 2 = 0")
+@query("e9_registry_match")
 def _(m: Model) -> DataFrame:
-    known = m.names.where("id % 2 = 1")
-    return er.match_registry(m.names.where("id % 2 = 0"), known, known.select(c("id").alias("node_id"), tx.normalise_name(c("name")).alias("alias")))
+    """Candidates' matches, and existing entities that none was matched with, as soft-deleted."""
+    new, known = (f.withColumn("aliases", F.array_except(tx.alias_variants(c("name")), F.array(F.lower("name")))) for f in parties(m))
+    found = er.match_registry(new, known)
+    gone = er.soft_deleted(known, found).select("document_id", "id", lit(None).cast("bigint").alias("match"), lit("soft-deleted").alias("how"))
+    return found.unionByName(gone)
 
 
 @query("e10_merge_action", "SELECT node_id, CASE WHEN r <= 1 THEN 'skip' WHEN r >= 3 AND s >= 3 THEN 'merge' ELSE 'ask' END AS action FROM (SELECT node_id, count(DISTINCT segment) AS s, max(CASE source WHEN 'A' THEN 3 WHEN 'N' THEN 2 ELSE 1 END) AS r FROM mentions GROUP BY node_id)")
@@ -150,9 +156,14 @@ def _(m: Model) -> DataFrame:
     return m.mentions.groupBy("node_id").agg(F.countDistinct("segment").alias("s"), F.max(rank).alias("r")).select("node_id", er.merge_action(c("s"), c("r")).alias("action"))
 
 
-@query("e11_registry_aliases", f"SELECT key, max(id) AS owner, count(*) AS n FROM (SELECT id, {norm_sql('name')} AS key FROM names) GROUP BY key")
+@query("e11_registry_aliases", f""", known AS (SELECT id, name, [{norm_sql('name')}] AS aliases FROM names WHERE id % 2 = 1), fresh AS (SELECT id, 'New ' || name AS name, [lower(name)] AS aliases FROM names WHERE id % 3 = 0),
+after AS (SELECT coalesce(f.id, k.id) AS id, coalesce(f.name, k.name) AS name, list_concat(coalesce(k.aliases, []::VARCHAR[]), coalesce(f.aliases, []::VARCHAR[])) AS aliases FROM known k FULL JOIN fresh f USING (id))
+SELECT lower(alias) AS alias, max(id) AS owner FROM (SELECT id, unnest(list_append(aliases, name)) AS alias FROM after) GROUP BY 1""")
 def _(m: Model) -> DataFrame:
-    return m.names.select("id", tx.normalise_name(c("name")).alias("key")).groupBy("key").agg(F.max("id").alias("owner"), F.count("*").alias("n"))
+    """The alias map after an upsert: odd ids are registered, multiples of three come in with a new name."""
+    known = m.names.where("id % 2 = 1").select("id", "name", F.array(tx.normalise_name(c("name"))).alias("aliases"))
+    fresh = m.names.where("id % 3 = 0").select("id", F.concat(lit("New "), "name").alias("name"), F.array(F.lower("name")).alias("aliases"))
+    return er.alias_owners(er.upserted_registry(known, fresh))
 
 
 # --- packing

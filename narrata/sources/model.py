@@ -16,6 +16,7 @@ VIEWS: dict[str, str] = {
       split_part('| the Great|, Jr| the Elder|||||', '|', CAST(p_partkey % 9 AS INT) + 1)) AS name,
       split_part('character|location|event|concept|object', '|', CAST(p_partkey % 5 AS INT) + 1) AS kind, p_partkey % 50 AS document_id,
       CASE WHEN p_partkey % 8 = 0 THEN NULL ELSE concat(p_type, ' changes') END AS description FROM part""",
+    "name_vectors": """SELECT p_partkey AS id, embedding AS vec FROM (SELECT p_partkey, p_partkey % (SELECT count(*) FROM embeddings) AS v FROM part) AS p JOIN embeddings ON vec_id = v""",
     "users": """SELECT c_custkey AS id, c_name AS username, concat(lower(replace(c_name, '#', '.')), CASE WHEN c_custkey % 4 = 0 THEN ' ' ELSE '' END, '@mail.test') AS email,
       CASE WHEN c_custkey % 10 = 0 THEN 'admin' ELSE 'user' END AS role, CAST(c_acctbal AS DECIMAL(12,2)) AS balance, c_nationkey AS nation FROM customer""",
     "media": """SELECT p_partkey AS id, p_partkey % 100 AS user_id, p_name AS name, p_type AS kind, CAST(p_size AS BIGINT) AS size, concat(p_brand, '/', CAST(p_size AS STRING)) AS hash,

@@ -75,6 +75,13 @@ def test_occurrences_and_relocation():
     assert sp.event_range("start here then the end comes", "start here", "the end") == (0, 23)
 
 
+def test_diffs_of_lines_that_look_like_headers():
+    old, new = "-- a comment\n--- a/file\nplain\n++ x", "++ added\n-- another\n--- a/file\n+++ b\nplain"
+    patch = sp.diff(old, new)
+    assert sp.apply_diff(old, patch) == new and sp.apply_diff(new, sp.invert_diff(patch)) == old
+    assert sp.invert_diff(sp.invert_diff(patch)) == patch and sp.rebuild(new, [patch]) == old
+
+
 def test_diffs_round_trip():
     rng = random.Random(4)
     for _ in range(60):

