@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import heapq
+import re
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from narrata.operators.lineage import settle
@@ -211,6 +212,92 @@ def update(nodes: DataFrame, changes: DataFrame, columns: list[str]) -> DataFram
     return nodes.join(new, "id", "left").withColumns({k: F.coalesce(f"_{k}", k) for k in columns}).drop(*[f"_{k}" for k in columns])
 
 
+def applied(nodes: DataFrame, created: DataFrame, changes: DataFrame, removed: DataFrame, columns: list[str]) -> DataFrame:
+    """Nodes after creation, partial updates and removal, in this order; an id that exists is not created again."""
+    names = nodes.columns
+    fresh = created.select(*names).join(nodes.select("id"), "id", "left_anti").select(*names)
+    return update(nodes.unionByName(fresh), changes, columns).join(removed.select("id"), "id", "left_anti").select(*names)
+
+
+def edges_after(nodes: DataFrame, edges: DataFrame, created: DataFrame, removed: DataFrame) -> DataFrame:
+    """Edges (src, dst, edge_type) after creation, which needs both ends, and removal by ends and type."""
+    there = lambda side: nodes.select(F.col("id").alias(side))
+    fresh = created.select("src", "dst", "edge_type").join(there("src"), "src", "left_semi").join(there("dst"), "dst", "left_semi")
+    every = edges.select("src", "dst", "edge_type").unionByName(fresh.select("src", "dst", "edge_type"))
+    return every.join(removed.select("src", "dst", "edge_type"), ["src", "dst", "edge_type"], "left_anti").select("src", "dst", "edge_type")
+
+
+#: The second label of a node by its kind; any other kind is Other.
+LABELS = {"character": "Character", "location": "Location", "event": "Event", "concept": "Concept"}
+
+
+def typed(nodes: DataFrame) -> DataFrame:
+    """Adds the two labels that a created node gets."""
+    second = F.coalesce(F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])[F.col("kind")], F.lit("Other"))
+    return nodes.withColumn("labels", F.array(F.lit("StoryNode"), second))
+
+
+def renamed(facets: DataFrame, mentions: DataFrame, renames: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Facets with new contents (id, content), and the names that the nodes of renamed name facets then have.
+
+    Facets that share an id are renamed together, and of several new contents for an id the greatest counts; names are
+    elected anew only for nodes that are touched.
+    """
+    new = renames.groupBy("id").agg(F.max("content").alias("_new"))
+    after = facets.join(new, "id", "left").withColumn("_touched", F.col("_new").isNotNull() & (F.col("kind") == "name")).withColumn("content", F.coalesce("_new", "content"))
+    nodes = after.where("_touched").select("node_id").distinct()
+    return after.select(*facets.columns), primary_names(after.join(nodes, "node_id", "left_semi").select(*facets.columns), mentions)
+
+
+def linked(left: DataFrame, right: DataFrame, wanted: DataFrame, strict: bool = False) -> DataFrame:
+    """Relationships wanted (src, dst) with created: whether both ends exist. strict raises for those that do not."""
+    ends = wanted.join(left.select(F.col("id").alias("src"), F.lit(True).alias("_l")).distinct(), "src", "left").join(right.select(F.col("id").alias("dst"), F.lit(True).alias("_r")).distinct(), "dst", "left")
+    made = F.coalesce(F.col("_l") & F.col("_r"), F.lit(False))
+    if strict:
+        made = F.when(made, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("0 relationships created from "), F.col("src").cast("string"), F.lit(" to "), F.col("dst").cast("string"))).cast("boolean"))
+    return ends.select("src", "dst", made.alias("created"))
+
+
+def transitions(states: DataFrame) -> DataFrame:
+    """(character_id, src, dst): each state and the next of its character by document order, then id."""
+    following = F.lead("id").over(Window.partitionBy("character_id").orderBy("document_order", "id"))
+    return states.select("character_id", F.col("id").alias("src"), following.alias("dst")).where("dst is not null")
+
+
+def moved_facets(characters: DataFrame, facets: DataFrame, states: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(id, node_id, state, how): the state that each state facet of a character moves to.
+
+    Without states it is the default one, which is created (state null, how "default"); a single state takes all; of
+    several it is the latest at the place of the facet's first mention, else of the character's; before all states the
+    first, and without any mention the last. characters: id; facets: id, node_id; states: id, character_id,
+    document_order; mentions: node_id, facet_id, start_at.
+    """
+    from narrata.operators.relational import as_of
+
+    own = facets.select("id", "node_id").distinct().join(characters.select(F.col("id").alias("node_id")).distinct(), "node_id", "left_semi")
+    counts = states.groupBy(F.col("character_id").alias("node_id")).agg(F.count("*").alias("n"), F.max(F.struct("document_order", "id"))["id"].alias("last"))
+    by_facet = mentions.where("facet_id is not null").groupBy(F.col("facet_id").alias("id"), "node_id").agg(F.min("start_at").alias("here"))
+    by_node = mentions.groupBy("node_id").agg(F.min("start_at").alias("first"))
+    placed = own.join(counts, "node_id", "left").join(by_facet, ["id", "node_id"], "left").join(by_node, "node_id", "left").withColumn("at", F.coalesce("here", "first"))
+    by_place = as_of(placed.withColumnRenamed("node_id", "character_id"), states.withColumnRenamed("id", "state"), "character_id", "at", "document_order", "state", "first").withColumnRenamed("character_id", "node_id")
+    how = F.when(F.col("n").isNull(), "default").when(F.col("n") == 1, "single").when(F.col("at").isNull(), "last").otherwise("position")
+    return by_place.select("id", "node_id", F.when(how == "default", None).when(how.isin("single", "last"), F.col("last")).otherwise(F.col("state")).alias("state"), how.alias("how"))
+
+
+def thread_members(members: DataFrame, added: DataFrame, removed: DataFrame, places: DataFrame) -> DataFrame:
+    """(thread, member, place) after events are added at the end, removed, and given new places.
+
+    A member that is there is not added again; a new place takes the member to before those that hold it. Places come
+    out gapless from 1.
+    """
+    own = members.select("thread", "member", F.col("place").cast("double").alias("place"), F.lit(0).alias("new"))
+    fresh = added.select("thread", "member").distinct().join(members.select("thread", "member"), ["thread", "member"], "left_anti").select("thread", "member", F.lit(float("inf")).alias("place"), F.lit(1).alias("new"))
+    left = own.unionByName(fresh).join(removed.select("thread", "member"), ["thread", "member"], "left_anti")
+    set_ = left.join(places.select("thread", "member", F.col("place").alias("to")), ["thread", "member"], "left").withColumn("at", F.coalesce(F.col("to").cast("double"), "place"))
+    order = Window.partitionBy("thread").orderBy("at", F.col("to").isNull(), "new", "member")
+    return set_.select("thread", "member", F.row_number().over(order).cast("bigint").alias("place"))
+
+
 def primary_names(facets: DataFrame, mentions: DataFrame) -> DataFrame:
     """(node_id, name): of each node's name facets the most mentioned, proper nouns first, then by the alphabet;
     pronouns are left out."""
@@ -224,14 +311,22 @@ def primary_names(facets: DataFrame, mentions: DataFrame) -> DataFrame:
     return every.join(ranked.select("node_id", F.col("content").alias("name")), "node_id", "left").fillna({"name": "Unknown Entity"})
 
 
+#: Labels and edge types that may appear in a query, and what a property name looks like.
+KNOWN_LABELS = ["StoryNode", "Character", "Location", "Event", "Concept", "Other", "NarrativeThread", "Facet", "CharacterState", "Arc"]
+OTHER_TYPES = ["PARTICIPATES_IN", "LOCATED_AT", "PART_OF", "MEMBER_OF", "POSSESSES", "CONNECTED_TO", "OPPOSES", "ABOUT", "RELATED_TO"]
+PROPERTY = "[A-Za-z_][A-Za-z0-9_]*"
+
+
+def allowed(what: Column, name: Column) -> Column:
+    """Whether a label, edge type or property name, as `what` says, may appear in a query; other kinds may not."""
+    types = [*CAUSAL, *SYSTEM, *OTHER_TYPES]
+    return F.coalesce(F.when(what == "label", name.isin(KNOWN_LABELS)).when(what == "edge type", name.isin(types)).when(what == "property", name.rlike(f"^{PROPERTY}$")), F.lit(False))
+
+
 def check_allowed(labels: list[str] | None = None, edge_types: list[str] | None = None, properties: list[str] | None = None) -> None:
     """Raises ValueError for a label, edge type or property name that may not appear in a query; runs before any plan."""
-    import re
-
-    known = {"StoryNode", "Character", "Location", "Event", "Concept", "Other", "NarrativeThread", "Facet", "CharacterState", "Arc"}
-    types = {*CAUSAL, *SYSTEM, "PARTICIPATES_IN", "LOCATED_AT", "PART_OF", "MEMBER_OF", "POSSESSES", "CONNECTED_TO", "OPPOSES", "ABOUT", "RELATED_TO"}
-    for what, given, allowed in (("label", labels, known), ("edge type", edge_types, types)):
-        if wrong := sorted(set(given or []) - allowed):
+    for what, given, known in (("label", labels, KNOWN_LABELS), ("edge type", edge_types, [*CAUSAL, *SYSTEM, *OTHER_TYPES])):
+        if wrong := sorted(set(given or []) - set(known)):
             raise ValueError(f"unknown {what}: {', '.join(wrong)}")
-    if wrong := [p for p in properties or [] if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", p)]:
+    if wrong := [p for p in properties or [] if not re.fullmatch(PROPERTY, p)]:
         raise ValueError(f"invalid property name: {', '.join(wrong)}")

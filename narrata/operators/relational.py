@@ -124,3 +124,11 @@ def budget_prefix(frame: DataFrame, keys: list[str], order: list[Column], cost:
     """Rows in order as long as the running cost stays within the budget; costs are not negative."""
     window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return frame.withColumn("running", F.sum(cost).over(window)).where(F.col("running") <= budget)
+
+
+def field_changes(old: DataFrame, given: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, field, before, after): fields that are given (not null) and differ from what is there, a null included."""
+    both = old.select(key, *[F.col(f).alias(f"_{f}") for f in fields]).join(given.select(key, *fields), key)
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_{f}").cast("string").alias("before"), F.col(f).cast("string").alias("after")) for f in fields])
+    changed = F.filter(each, lambda x: x["after"].isNotNull() & ~x["before"].eqNullSafe(x["after"]))
+    return both.select(key, F.explode(changed).alias("x")).select(key, "x.field", "x.before", "x.after")

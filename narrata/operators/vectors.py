@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -97,6 +100,91 @@ def s_curve(x: Column) -> Column:
     return 0.5 * (1 - F.cos(math.pi * F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))))
 
 
+def hashing_embedder(dimension: int, fault: int = 0):  # noqa: ANN201
+    """A deterministic stand-in for an embedding service: words' hashes signed into `dimension` numbers, length 1.
+
+    With `fault` the first answer to every so-manieth text (by its hash) has a number too few, as services' at times.
+    """
+
+    def embed(texts: list[str], attempt: int) -> list[list[float]]:
+        out = []
+        for text in texts:
+            found = [0.0] * dimension
+            for word in text.lower().split():
+                h = int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "big")
+                found[h % dimension] += 1.0 if h >> 63 else -1.0
+            size = math.sqrt(sum(x * x for x in found))
+            wrong = fault and not attempt and int.from_bytes(hashlib.md5(text.encode()).digest()[:4], "big") % fault == 0
+            out.append([x / size if size else x for x in found][: dimension - 1 if wrong else dimension])
+        return out
+
+    return embed
+
+
+def embedded(frame: DataFrame, text: str, embed: Callable[[list[str], int], list[list[float]]], dimension: int, batch: int = 100, attempts: int = 3) -> DataFrame:
+    """(id, embedding) of each row's text, asked for in batches of `batch` texts.
+
+    Texts whose vector has a wrong dimension are asked for again, `attempts` times in all; then the job fails. Null and
+    empty texts get no vector (null) and are not asked for.
+    """
+
+    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            texts, found = part.column(text).to_pylist(), [None] * part.num_rows
+            todo = [k for k, t in enumerate(texts) if t]
+            for attempt in range(attempts):
+                for first in range(0, len(todo), batch):
+                    some = todo[first : first + batch]
+                    for k, v in zip(some, embed([texts[k] for k in some], attempt), strict=True):
+                        found[k] = v
+                todo = [k for k in todo if len(found[k]) != dimension]
+            if todo:
+                raise ValueError(f"wrong embedding dimensions after {attempts} attempts: {texts[todo[0]][:50]}")
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found, pa.list_(pa.float64()))], ["id", "embedding"])
+
+    return frame.select("id", text).mapInArrow(work, f"id {frame.schema['id'].dataType.simpleString()}, embedding array<double>")
+
+
+#: Analysis versions with their embedding model and dimension; the last one is current.
+VERSIONS = {"0.0.1": ("openai-3-small", 1536), "0.0.2": ("voyage-4-lite", 1024)}
+
+
+def version_diff(frame: DataFrame, a: str, b: str) -> DataFrame:
+    """Adds what changes from version a to version b, and the column that b's vectors are in; an unknown version changes
+    everything and has the current one's column."""
+    table = F.create_map(*[x for v, (model, n) in VERSIONS.items() for x in (F.lit(v), F.struct(F.lit(model).alias("model"), F.lit(n).alias("n")))])
+    x, y, current = table[F.col(a)], table[F.col(b)], list(VERSIONS.values())[-1][1]
+    model, size = F.coalesce(x["model"] != y["model"], F.lit(True)), F.coalesce(x["n"] != y["n"], F.lit(True))
+    return frame.withColumns({"model_changed": model, "dimensions_changed": size, "reanalysis": model | size, "into_column": F.concat(F.lit("embedding_"), F.coalesce(y["n"], F.lit(current)).cast("string"))})
+
+
+class Reembedding:
+    """A job that embeds facets (id, node_id, text) anew, in batches of ids that are stored one by one.
+
+    A batch is done when its folder holds Spark's _SUCCESS; a run after a crash does only those that are missing.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, batches: int = 16) -> None:
+        self.spark, self.path, self.batches = spark, path, batches
+
+    def done(self) -> list[int]:
+        top = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = top.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        there = lambda k: fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch={k}/_SUCCESS"))
+        return [k for k in range(self.batches) if there(k)]
+
+    def run(self, facets: DataFrame, text: str, embed: Callable[[list[str], int], list[list[float]]], dimension: int) -> DataFrame:
+        """(node_id, centroid): the mean, of length 1, of each node's new facet vectors; vectors stay in the batches."""
+        own = facets.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(self.batches)))
+        done = self.done()
+        for k in (k for k in range(self.batches) if k not in done):
+            some = own.where(F.col("_b") == k)
+            keyed = some.select(F.struct("id", "node_id").alias("id"), text)
+            embedded(keyed, text, embed, dimension).select("id.*", "embedding").write.mode("overwrite").parquet(f"{self.path}/batch={k}")
+        every = self.spark.read.parquet(*[f"{self.path}/batch={k}" for k in range(self.batches)])
+        return centroid(every.where("embedding is not null"), ["node_id"], "embedding")
+
+
 def relevance(sentences: DataFrame, entities: DataFrame, segment: str, own: float = 0.67) -> DataFrame:
     """(entity, id, relevance): an entity's likeness to each sentence and to the mean of its segment, blended.
 

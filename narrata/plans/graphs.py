@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,9 @@ from narrata.functions import text as tx
 from narrata.operators import graph as gr
 from narrata.operators import relational as rel
 from narrata.operators import vectors as vec
+from narrata.operators.lineage import shared_folder
 from narrata.plans.registry import query
-from narrata.plans.relational import BOTH, LIVE, both_ways, points, visible
+from narrata.plans.relational import BOTH, LIVE, both_ways, visible
 from narrata.sources.model import Model
 
 c, lit = F.col, F.lit
@@ -18,19 +21,26 @@ IN = "('CAUSES', 'ENABLES', 'PREVENTS', 'HAPPENS_BEFORE')"
 STEP = f"{LIVE}, step AS (SELECT DISTINCT src, dst FROM live WHERE edge_type IN ('CAUSES', 'ENABLES'))"
 
 
-@query("g1_node_append", "SELECT id, name FROM nodes UNION ALL SELECT id + 1000000, 'new' FROM states")
+@query("g1_node_crud", """, every AS (SELECT id, name, kind FROM nodes UNION ALL SELECT id + 1000000, name, 'event' FROM nodes WHERE kind = 'event')
+SELECT e.id, coalesce(s.reason, e.name) AS name, e.kind FROM every e LEFT JOIN states s ON s.id = e.id WHERE e.id NOT IN (SELECT id FROM nodes WHERE deleted)""")
 def _(m: Model) -> DataFrame:
-    return m.nodes.select("id", "name").unionByName(m.states.select((c("id") + 1000000).alias("id"), lit("new").alias("name")))
+    """Every event created once more (and again, which changes nothing), names updated by id, soft-deleted nodes removed."""
+    nodes = m.nodes.select("id", "name", "kind")
+    created = nodes.where("kind = 'event'").select((c("id") + 1000000).alias("id"), "name", "kind")
+    once = gr.applied(nodes, created, m.states.select("id", c("reason").alias("name")), m.nodes.where("deleted").select("id"), ["name"])
+    return gr.applied(once, once.limit(5), m.states.select("id", lit(None).cast("string").alias("name")), m.nodes.where("deleted").select("id"), ["name"])
 
 
-@query("g2_edge_append", "SELECT src, dst FROM edges UNION ALL SELECT id, id + 1 FROM states")
+@query("g2_edge_crud", """SELECT src, dst, edge_type FROM edges WHERE NOT deleted UNION ALL SELECT s.id, s.id + 1, 'HAS_STATE' FROM states s WHERE s.id IN (SELECT id FROM nodes) AND s.id + 1 IN (SELECT id FROM nodes)""")
 def _(m: Model) -> DataFrame:
-    return m.edges.select("src", "dst").unionByName(m.states.select(c("id").alias("src"), (c("id") + 1).alias("dst")))
+    """Edges after links between neighbours are created where both nodes exist, and soft-deleted ones removed."""
+    created = m.states.select(c("id").alias("src"), (c("id") + 1).alias("dst"), lit("HAS_STATE").alias("edge_type"))
+    return gr.edges_after(m.nodes, m.edges, created, m.edges.where("deleted"))
 
 
-@query("g3_typed_nodes", "SELECT id, 'StoryNode' AS label, concat(upper(substr(kind, 1, 1)), substr(kind, 2)) AS second FROM nodes")
+@query("g3_typed_nodes", "SELECT id, 'StoryNode' AS label, CASE WHEN kind IN ('character', 'location', 'event', 'concept') THEN concat(upper(substr(kind, 1, 1)), substr(kind, 2)) ELSE 'Other' END AS second FROM nodes")
 def _(m: Model) -> DataFrame:
-    return m.nodes.select("id", lit("StoryNode").alias("label"), F.initcap("kind").alias("second"))
+    return gr.typed(m.nodes).select("id", c("labels")[0].alias("label"), c("labels")[1].alias("second"))
 
 
 @query("g4_guarded_edges")
@@ -93,24 +103,53 @@ def _(m: Model) -> DataFrame:
     return gr.update(m.nodes.select("id", "name", "kind"), m.states.select("id", c("reason").alias("name")), ["name"])
 
 
-PRIMARY = """, counted AS (SELECT f.node_id, f.id, f.content, coalesce(k.n, 0) AS n FROM facets f LEFT JOIN (SELECT facet_id, count(*) AS n FROM mentions WHERE facet_id IS NOT NULL GROUP BY facet_id) k ON k.facet_id = f.id WHERE f.kind = 'name')
-SELECT d.node_id, coalesce(arg_min(content, r), 'Unknown Entity') AS name FROM (SELECT DISTINCT node_id FROM facets) d LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY n DESC, content, id) AS r FROM counted) x USING (node_id) GROUP BY d.node_id"""
+def primary_sql(facets: str, nodes: str) -> str:
+    """The election of names in SQL, over facets and for the nodes given."""
+    proper = r"trim(content) <> '' AND NOT regexp_matches(lower(trim(content)), '^(the|a|an)\s') AND substr(trim(content), 1, 1) = upper(substr(trim(content), 1, 1))"
+    unsaid = ", ".join(repr(x) for x in tx.PRONOUNS)
+    return f""", counted AS (SELECT f.node_id, f.id, f.content, coalesce(k.n, 0) AS n, {proper} AS proper FROM {facets} f LEFT JOIN (SELECT facet_id, count(*) AS n FROM mentions WHERE facet_id IS NOT NULL GROUP BY facet_id) k ON k.facet_id = f.id WHERE f.kind = 'name' AND lower(trim(content)) NOT IN ({unsaid}))
+SELECT d.node_id, coalesce(arg_min(content, r), 'Unknown Entity') AS name FROM ({nodes}) d LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY n DESC, proper DESC, content, id) AS r FROM counted) x USING (node_id) GROUP BY d.node_id"""
+
+
+@query("g15_rename_recompute", """, renames AS (SELECT id, max(CASE WHEN kind = 'name' AND content IN ('NO1', 'RF2', 'AF3') THEN 'she' ELSE 'the ' || lower(content) END) AS new FROM facets WHERE content LIKE '%5' OR (kind = 'name' AND content IN ('NO1', 'RF2', 'AF3')) GROUP BY id),
+after AS (SELECT f.id, node_id, kind, coalesce(new, content) AS content, kind = 'name' AND new IS NOT NULL AS touched FROM facets f LEFT JOIN renames r ON r.id = f.id)"""
+       + primary_sql("after", "SELECT DISTINCT node_id FROM after WHERE touched"))
+def _(m: Model) -> DataFrame:
+    """The names that nodes have after facets of theirs were renamed, some to a pronoun, some to a common noun."""
+    gone = c("content").isin("NO1", "RF2", "AF3") & (c("kind") == "name")
+    renames = m.facets.where(gone | c("content").endswith("5")).select("id", F.when(gone, "she").otherwise(F.concat(lit("the "), F.lower("content"))).alias("content"))
+    return gr.renamed(m.facets, m.mentions, renames)[1]
 
 
-@query("g15_rename_recompute", PRIMARY)
-@query("g18_primary_name", PRIMARY)
+@query("g18_primary_name", primary_sql("facets", "SELECT DISTINCT node_id FROM facets"))
 def _(m: Model) -> DataFrame:
     return gr.primary_names(m.facets, m.mentions)
 
 
-@query("g16_referential_append", "SELECT id, character_id FROM states WHERE character_id IN (SELECT id FROM nodes WHERE NOT deleted)")
+@query("g16_linked_states", "SELECT s.character_id AS src, s.id AS dst, s.character_id IN (SELECT id FROM nodes WHERE NOT deleted) AS created FROM states s")
+def _(m: Model) -> DataFrame:
+    """HAS_STATE links that were asked for, and whether a relationship came of each."""
+    return gr.linked(m.nodes.where("not deleted"), m.states, m.states.select(c("character_id").alias("src"), c("id").alias("dst")))
+
+
+@query("g16_transitions", "SELECT * FROM (SELECT character_id, id AS src, lead(id) OVER (PARTITION BY character_id ORDER BY document_order, id) AS dst FROM states) WHERE dst IS NOT NULL")
 def _(m: Model) -> DataFrame:
-    return m.states.join(m.nodes.where("not deleted").select(c("id").alias("character_id")), "character_id", "left_semi").select("id", "character_id")
+    return gr.transitions(m.states)
 
 
-@query("g17_move_facets", """SELECT f.id, (SELECT max(s.id) FROM states s WHERE s.character_id = f.document_id % 9 AND s.document_order = (SELECT max(t.document_order) FROM states t WHERE t.character_id = f.document_id % 9 AND t.document_order <= f.start_at)) AS state FROM mentions f""")
+HELD = ", held AS (SELECT * FROM states WHERE character_id > 0 AND (character_id <> 5 OR id = 5)), f AS (SELECT DISTINCT id, node_id % 9 AS node_id FROM facets WHERE kind = 'state'), marks AS (SELECT node_id % 9 AS node_id, facet_id, start_at FROM mentions WHERE node_id % 9 <> 7 AND NOT (node_id % 9 = 4 AND facet_id % 3 = 0))"
+
+
+@query("g17_move_facets", f"""{HELD}, counts AS (SELECT character_id, count(*) AS n, arg_max(id, document_order * 1000000 + id) AS last FROM held GROUP BY 1), here AS (SELECT facet_id AS id, node_id, min(start_at) AS at FROM marks WHERE facet_id IS NOT NULL GROUP BY ALL), first AS (SELECT node_id, min(start_at) AS at FROM marks GROUP BY 1),
+p AS (SELECT f.id, f.node_id, n, last, coalesce(here.at, first.at) AS at FROM f LEFT JOIN counts ON character_id = f.node_id LEFT JOIN here ON here.id = f.id AND here.node_id = f.node_id LEFT JOIN first ON first.node_id = f.node_id),
+spans AS (SELECT id, character_id, CASE WHEN row_number() OVER (PARTITION BY character_id ORDER BY document_order, id) = 1 THEN -1 ELSE document_order END AS a, coalesce(lead(document_order) OVER (PARTITION BY character_id ORDER BY document_order, id), 1000000000) AS b FROM held)
+SELECT p.id, p.node_id, CASE WHEN n IS NULL THEN NULL WHEN n = 1 OR p.at IS NULL THEN last ELSE s.id END AS state, CASE WHEN n IS NULL THEN 'default' WHEN n = 1 THEN 'single' WHEN p.at IS NULL THEN 'last' ELSE 'position' END AS how FROM p LEFT JOIN spans s ON s.character_id = p.node_id AND p.at >= s.a AND p.at < s.b""")
 def _(m: Model) -> DataFrame:
-    return rel.as_of(points(m), m.states.withColumnRenamed("id", "state"), "character_id", "at", "document_order", "state").select("id", "state")
+    """Nine characters own all state facets: one without states, one with a single one, one that is never mentioned."""
+    states = m.states.where("character_id > 0 and (character_id <> 5 or id = 5)")
+    who = (c("node_id") % 9).alias("node_id")
+    marks = m.mentions.select(who, "facet_id", "start_at").where("node_id <> 7").where(~((c("node_id") == 4) & (F.coalesce(c("facet_id") % 3, lit(1)) == 0)))
+    return gr.moved_facets(m.spark.range(9), m.facets.where("kind = 'state'").select("id", who), states, marks)
 
 
 @query("g19_active_facets", "SELECT f.node_id, f.id, 'permanent' AS origin FROM facets f WHERE f.kind <> 'state' UNION ALL SELECT f.node_id, f.id, 'state' FROM facets f WHERE f.kind = 'state' AND f.node_id % 9 IN (SELECT character_id FROM states WHERE document_order <= 25)")
@@ -126,10 +165,27 @@ def _(m: Model) -> DataFrame:
     return found.select("id", F.coalesce(F.concat(lit("state:"), c("s").cast("string")), F.concat(lit("node:"), c("n").cast("string")), lit("error")).alias("owner"))
 
 
-@query("g21_thread_members", f"{LIVE} SELECT dst AS thread, src AS member, row_number() OVER (PARTITION BY dst ORDER BY strength, src) AS place FROM live WHERE edge_type = 'BELONGS_TO_THREAD'")
+def members(m: Model) -> DataFrame:
+    own = visible(m).where("edge_type = 'BELONGS_TO_THREAD'").select(c("dst").alias("thread"), c("src").alias("member"), "strength")
+    return own.select("thread", "member", F.row_number().over(Window.partitionBy("thread").orderBy("strength", "member")).cast("bigint").alias("place"))
+
+
+MEMBERS = f"{LIVE}, own AS (SELECT dst AS thread, src AS member, row_number() OVER (PARTITION BY dst ORDER BY strength, src) AS place FROM live WHERE edge_type = 'BELONGS_TO_THREAD')"
+
+
+@query("g21_thread_members", f"{MEMBERS} SELECT thread, member, place FROM own")
+def _(m: Model) -> DataFrame:
+    return members(m)
+
+
+@query("g21_thread_changes", f"""{MEMBERS}, every AS (SELECT thread, member, place::DOUBLE AS place, 0 AS new FROM own UNION ALL SELECT DISTINCT thread, -thread, 1e300, 1 FROM own),
+k AS (SELECT e.*, CASE WHEN e.member % 5 = 0 AND new = 0 THEN 1 END AS dest FROM every e WHERE NOT (e.member % 7 = 0 AND new = 0))
+SELECT thread, member, row_number() OVER (PARTITION BY thread ORDER BY coalesce(dest, place), dest IS NULL, new, member) AS place FROM k""")
 def _(m: Model) -> DataFrame:
-    members = visible(m).where("edge_type = 'BELONGS_TO_THREAD'")
-    return members.select(c("dst").alias("thread"), c("src").alias("member"), F.row_number().over(Window.partitionBy("dst").orderBy("strength", "src")).cast("bigint").alias("place"))
+    """Each thread gets one event more, loses those of an id divisible by seven, and puts those divisible by five first."""
+    own = members(m)
+    added = own.select("thread", (-c("thread")).alias("member"))
+    return gr.thread_members(own, added, own.where("member % 7 = 0"), own.where("member % 5 = 0").select("thread", "member", lit(1).alias("place")))
 
 
 @query("g22_graph_analysis")
@@ -142,7 +198,27 @@ def _(m: Model) -> DataFrame:
     return every.select("document_id", "id", "position", "thread", F.coalesce("pivotal", lit(False)).alias("pivotal"), F.coalesce(gap, lit(False)).alias("gap"))
 
 
-@query("g23_state_readers", "SELECT s.id, s.character_id, count(f.id) AS facets FROM states s LEFT JOIN facets f ON f.node_id = s.id AND f.kind = 'state' GROUP BY s.id, s.character_id")
+@query("g23_states", "SELECT character_id, id, row_number() OVER (PARTITION BY character_id ORDER BY document_order, id) AS nth FROM states")
+def _(m: Model) -> DataFrame:
+    """A character's states in document order."""
+    return m.states.select("character_id", "id", F.row_number().over(Window.partitionBy("character_id").orderBy("document_order", "id")).cast("bigint").alias("nth"))
+
+
+@query("g23_transitions", "SELECT src.character_id, src.id AS src, src.phase AS before, dst.phase AS after FROM (SELECT *, lead(id) OVER (PARTITION BY character_id ORDER BY document_order, id) AS following FROM states) src JOIN states dst ON dst.id = src.following")
+def _(m: Model) -> DataFrame:
+    """Transitions with the phases of both ends."""
+    ends = lambda k, name: m.states.select(c("id").alias(k), c("phase").alias(name))
+    return gr.transitions(m.states).join(ends("src", "before"), "src").join(ends("dst", "after"), "dst").select("character_id", "src", "before", "after")
+
+
+@query("g23_arcs", "SELECT character_id, min(id) AS first_state, count(*) AS states, string_agg(phase, '>' ORDER BY document_order, id) AS phases FROM states GROUP BY character_id")
+def _(m: Model) -> DataFrame:
+    """A character's arc: how many states it includes and their phases in order."""
+    steps = F.sort_array(F.collect_list(F.struct("document_order", "id", "phase")))
+    return m.states.groupBy("character_id").agg(F.min("id").alias("first_state"), F.count("*").alias("states"), F.array_join(F.transform(steps, lambda x: x["phase"]), ">").alias("phases"))
+
+
+@query("g23_state_facets", "SELECT s.id, s.character_id, count(f.id) AS facets FROM states s LEFT JOIN facets f ON f.node_id = s.id AND f.kind = 'state' GROUP BY s.id, s.character_id")
 def _(m: Model) -> DataFrame:
     own = m.facets.where("kind = 'state'").groupBy(c("node_id").alias("id")).agg(F.count("*").alias("facets"))
     return rel.with_defaults(m.states.select("id", "character_id"), own, "id", {"facets": 0})
@@ -221,13 +297,10 @@ def _(m: Model) -> DataFrame:
     return m.new_segments.join(cached, "hash", "left").select("id", F.coalesce("hit", lit(False)).alias("hit"))
 
 
-@query("v10_hashing_embedder")
+@query("v10_embedding")
 def _(m: Model) -> DataFrame:
-    """A deterministic embedder in place of a service: word hashes signed into 16 dimensions, scaled to length 1."""
-    h = lambda w: F.xxhash64(w)
-    parts = m.names.select("id", F.explode(tx.text_words(c("name"))).alias("w")).select("id", F.pmod(h("w"), lit(16)).cast("int").alias("i"), F.when(F.pmod(h("w") / 16, lit(2)) < 1, 1.0).otherwise(-1.0).alias("x"))
-    sums = parts.groupBy("id").agg(*[F.sum(F.when(c("i") == k, c("x")).otherwise(0.0)).alias(f"d{k}") for k in range(16)])
-    return sums.select("id", vec.scaled(F.array(*[f"d{k}" for k in range(16)])).alias("embedding"))
+    """Names embedded in batches by a deterministic stand-in for a service that at times gives a wrong dimension."""
+    return vec.embedded(m.names.select("id", "name"), "name", vec.hashing_embedder(16, fault=7), 16)
 
 
 @query("v11_vector_validation", "SELECT id, len(vec) = 64 AND list_bool_and(list_transform(vec, lambda x: isfinite(x))) AS ok FROM vectors")
@@ -235,17 +308,27 @@ def _(m: Model) -> DataFrame:
     return m.vectors.select("id", vec.valid(c("vec"), 64).alias("ok"))
 
 
-@query("v12_version_dimension", "SELECT v, CASE v WHEN 'a' THEN 1536 WHEN 'b' THEN 1024 END AS dimension FROM (VALUES ('a'), ('b')) AS t(v)")
+@query("v12_version_diff", """, v(version, model, dimensions) AS (VALUES ('0.0.1', 'openai-3-small', 1536), ('0.0.2', 'voyage-4-lite', 1024)), pairs AS (SELECT * FROM (VALUES ('0.0.1'), ('0.0.2'), ('9.9.9')) AS a(a), (VALUES ('0.0.1'), ('0.0.2'), ('9.9.9')) AS b(b))
+SELECT a, b, coalesce(x.model <> y.model, true) AS model_changed, coalesce(x.dimensions <> y.dimensions, true) AS dimensions_changed, coalesce(x.model <> y.model OR x.dimensions <> y.dimensions, true) AS reanalysis, 'embedding_' || CAST(coalesce(y.dimensions, 1024) AS STRING) AS into_column
+FROM pairs LEFT JOIN v x ON x.version = a LEFT JOIN v y ON y.version = b""")
 def _(m: Model) -> DataFrame:
-    dims = F.create_map(*[lit(x) for pair in (("a", 1536), ("b", 1024)) for x in pair])
-    return m.spark.createDataFrame([("a",), ("b",)], "v string").select("v", dims[c("v")].alias("dimension"))
+    pairs = m.spark.createDataFrame([(a, b) for a in ("0.0.1", "0.0.2", "9.9.9") for b in ("0.0.1", "0.0.2", "9.9.9")], "a string, b string")
+    return vec.version_diff(pairs, "a", "b")
 
 
-@query("v13_reembed_upgrade", """, w AS (SELECT document_id AS d, i, sum(x * (1 + id % 2)) / sum(1 + id % 2) AS v FROM (SELECT document_id, id, unnest(vec)::DOUBLE AS x, unnest(range(64)) AS i FROM vectors) GROUP BY ALL) SELECT d, i AS dimension, round(v / sqrt(sum(v * v) OVER (PARTITION BY d)), 6) AS v FROM w""")
+@query("v13_centroid_upgrade", """, w AS (SELECT document_id AS d, i, sum(x * (1 + id % 2)) / sum(1 + id % 2) AS v FROM (SELECT document_id, id, unnest(vec)::DOUBLE AS x, unnest(range(64)) AS i FROM vectors) GROUP BY ALL) SELECT d, i AS dimension, round(v / sqrt(sum(v * v) OVER (PARTITION BY d)), 6) AS v FROM w""")
 def _(m: Model) -> DataFrame:
     return vec.centroid(m.vectors, ["document_id"], "vec", weight=1 + c("id") % 2).select(c("document_id").alias("d"), F.posexplode("centroid").alias("i", "v")).select("d", c("i").cast("bigint").alias("dimension"), F.round("v", 6).alias("v"))
 
 
+@query("v13_reembed_job")
+def _(m: Model) -> DataFrame:
+    """All distinct facets embedded anew in stored batches, and the entities' centroids over the new vectors."""
+    facets = m.facets.select("id", "node_id", "content").dropDuplicates(["id", "content"])
+    job = vec.Reembedding(m.spark, f"{shared_folder(m.spark)}/reembed-{uuid.uuid4().hex}", batches=4)
+    return job.run(facets, "content", vec.hashing_embedder(16), 16)
+
+
 @query("v14_relevance_pack", f"""{LIVE}, s AS (SELECT n.id, least(coalesce(k, 0) / 100.0, 0.3)::DOUBLE + CASE WHEN n.id IN (SELECT dst FROM live WHERE src % 50 = 1) THEN 0.2 ELSE 0 END AS score, n.document_id, length(name) AS size FROM nodes n LEFT JOIN (SELECT node_id, count(*) AS k FROM mentions GROUP BY node_id) m ON m.node_id = n.id)
 SELECT id FROM (SELECT id, sum(size) OVER (PARTITION BY document_id ORDER BY round(score, 9) DESC, id ROWS UNBOUNDED PRECEDING) AS t FROM s) WHERE t <= 120""")
 def _(m: Model) -> DataFrame:

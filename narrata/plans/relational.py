@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from narrata.functions import text as tx
+from narrata.operators import graph as gr
 from narrata.operators import relational as rel
 from narrata.plans.registry import query
 from narrata.sources.model import Model
@@ -179,10 +180,23 @@ def _(m: Model) -> DataFrame:
     return m.edges.where(c("edge_type").isin(PUBLIC)).groupBy("edge_type").agg(F.count("*").alias("n"))
 
 
-@query("p13_set_if_changed", "SELECT n.id, o.hash <> n.hash AS changed FROM new_segments n JOIN old_segments o USING (id) WHERE o.hash <> n.hash")
+@query("p12_allow_list", """, asked AS (SELECT DISTINCT 'edge type' AS what, edge_type AS name FROM edges UNION ALL SELECT DISTINCT 'label', concat(upper(substr(kind, 1, 1)), substr(kind, 2)) FROM nodes UNION ALL SELECT DISTINCT 'property', content FROM facets UNION ALL SELECT 'property', 'a b' UNION ALL SELECT 'index', 'id')
+SELECT what, name, CASE what WHEN 'edge type' THEN name IN ('CAUSES','ENABLES','PREVENTS','HAPPENS_BEFORE','PARTICIPATES_IN','LOCATED_AT','HAS_FACET','BELONGS_TO_THREAD') WHEN 'label' THEN name IN ('Character','Location','Event','Concept') WHEN 'property' THEN regexp_full_match(name, '[A-Za-z_][A-Za-z0-9_]*') ELSE false END AS allowed FROM asked""")
 def _(m: Model) -> DataFrame:
-    both = m.new_segments.alias("n").join(m.old_segments.withColumnRenamed("hash", "before"), "id")
-    return both.where(c("before") != c("hash")).select("id", (c("before") != c("hash")).alias("changed"))
+    """Every edge type, label and property name asked for, and whether it may appear in a query."""
+    types = m.edges.select(lit("edge type").alias("what"), c("edge_type").alias("name")).distinct()
+    labels = m.nodes.select(lit("label").alias("what"), F.initcap("kind").alias("name")).distinct()
+    names = m.facets.select(lit("property").alias("what"), c("content").alias("name")).distinct()
+    asked = types.unionByName(labels).unionByName(names).unionByName(m.spark.createDataFrame([("property", "a b"), ("index", "id")], "what string, name string"))
+    return asked.withColumn("allowed", gr.allowed(c("what"), c("name")))
+
+
+@query("p13_set_if_changed", """, given AS (SELECT id, CASE WHEN id % 4 = 0 THEN NULL ELSE 'renamed ' || name END AS name, CASE WHEN id % 3 = 0 THEN 'event' END AS kind FROM nodes)
+SELECT n.id, 'name' AS field, n.name AS before, g.name AS after FROM nodes n JOIN given g USING (id) WHERE g.name <> n.name UNION ALL SELECT n.id, 'kind', n.kind, g.kind FROM nodes n JOIN given g USING (id) WHERE g.kind <> n.kind""")
+def _(m: Model) -> DataFrame:
+    """Before and after of each field that an update gives and that differs."""
+    given = m.nodes.select("id", F.when(c("id") % 4 != 0, F.concat(lit("renamed "), "name")).alias("name"), F.when(c("id") % 3 == 0, "event").alias("kind"))
+    return rel.field_changes(m.nodes, given, "id", ["name", "kind"])
 
 
 @query("p14_summary_template", "SELECT id, CASE status WHEN 'failed' THEN concat('Failed ', type, ' for ', CAST(user_id AS STRING)) WHEN 'queued' THEN concat('Created ', type) ELSE concat('Updated ', type, ' (', CAST(retries AS STRING), ')') END AS summary FROM jobs")

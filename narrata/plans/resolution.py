@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from narrata.functions import text as tx
@@ -235,6 +235,17 @@ def _(m: Model) -> DataFrame:
     return us.incremental_rollup(stream, ["event_type"], {"users": "user_id"}, us.new_folder(m.spark, "rollup"))
 
 
+@query("s16_consumer_groups", """, groups AS (SELECT DISTINCT g.grp, channel, CASE grp WHEN 'ui' THEN 400 ELSE 700 END AS last FROM events_log, (VALUES ('ui'), ('worker')) AS g(grp)),
+e AS (SELECT g.grp, g.channel, l.id, l.id <= g.last AS sent, (g.grp = 'ui' AND l.id % 3 = 0) OR (g.grp = 'worker' AND l.id % 10 <> 7) AS done FROM groups g JOIN events_log l USING (channel))
+SELECT grp, channel, count(*) AS produced, count(*) FILTER (sent) AS delivered, count(*) FILTER (sent AND NOT done) AS pending, min(id) FILTER (sent AND NOT done) AS oldest, count(*) FILTER (NOT sent) AS lag FROM e GROUP BY grp, channel""")
+def _(m: Model) -> DataFrame:
+    """Two consumer groups: what they were sent, what they have acknowledged, and how far they are behind."""
+    names = m.spark.createDataFrame([("ui", 400), ("worker", 700)], "grp string, last bigint")
+    groups = m.events_log.select("channel").distinct().join(F.broadcast(names), lit(True))
+    acked = m.events_log.select("id", F.explode(F.array(lit("ui"), lit("worker"))).alias("grp")).where("(grp = 'ui' and id % 3 = 0) or (grp = 'worker' and id % 10 <> 7)")
+    return us.consumer_state(m.events_log, groups, acked)
+
+
 @query("s16_stream_windows")
 def _(m: Model) -> DataFrame:
     """Hourly counts by type of a watermarked stream, as extension: windows the watermark has closed."""
@@ -252,6 +263,15 @@ def _(m: Model) -> DataFrame:
     return us.deduct(m.usage.select("user_id", "id", c("input_tokens").alias("cost")), quota).select("id", "accepted")
 
 
+@query("r7_optimistic_deduction", """, o AS (SELECT user_id, id, input_tokens::DOUBLE AS cost, row_number() OVER (PARTITION BY user_id ORDER BY id) AS n FROM usage),
+f AS (SELECT user_id, id, n, 'optimistic' AS mode, cost <= 2000 AS accepted, CASE WHEN cost <= 2000 THEN cost ELSE 0 END AS consumed FROM o WHERE n = 1 UNION ALL
+  SELECT o.user_id, o.id, o.n, CASE WHEN f.consumed / 2000 >= 0.8 THEN 'strict' ELSE 'optimistic' END, f.consumed + o.cost <= 2000, CASE WHEN f.consumed + o.cost <= 2000 THEN f.consumed + o.cost ELSE f.consumed END FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1)
+SELECT user_id, id, mode, accepted, consumed FROM f""")
+def _(m: Model) -> DataFrame:
+    quota = m.usage.select("user_id").distinct().withColumn("quota", lit(2000))
+    return us.deduct_optimistic(m.usage.select("user_id", "id", c("input_tokens").alias("cost")), quota)
+
+
 @query("r8_period_rollover", f"SELECT id, CASE WHEN made + 30 < {NOW} THEN 0 ELSE retries END AS consumed, CAST(CASE WHEN made + 30 < {NOW} THEN CAST({NOW} + INTERVAL '1' MONTH AS DATE) ELSE made + 30 END AS STRING) AS period_end FROM jobs")
 def _(m: Model) -> DataFrame:
     over = F.date_add("made", 30) < today()
@@ -277,15 +297,27 @@ def _(m: Model) -> DataFrame:
 
 
 @query("r11_two_store_status", "SELECT a.id, CASE WHEN j.status IN ('completed', 'failed') AND a.status <> j.status THEN j.status ELSE a.status END AS status FROM activities a LEFT JOIN jobs j ON j.id = a.job_id")
-@query("r12_activity_sync", "SELECT a.id, CASE WHEN j.status IN ('completed', 'failed') AND a.status <> j.status THEN j.status ELSE a.status END AS status FROM activities a LEFT JOIN jobs j ON j.id = a.job_id")
 def _(m: Model) -> DataFrame:
     both = m.activities.join(m.jobs.select(c("id").alias("job_id"), c("status").alias("now")), "job_id", "left")
     return both.select("id", F.when(c("now").isin(TERMINAL) & (c("status") != c("now")), c("now")).otherwise(c("status")).alias("status"))
 
 
-@query("r13_resume_by_stage", "SELECT type, max(CASE WHEN status = 'completed' THEN retries ELSE -1 END) + 1 AS next_stage FROM jobs GROUP BY type")
+@query("r12_activity_sync", "SELECT a.id, CASE WHEN j.status IS NULL THEN 'failed' ELSE j.status END AS status FROM activities a LEFT JOIN (SELECT * FROM jobs WHERE id % 7 <> 0) j ON j.id = a.job_id WHERE a.status NOT IN ('completed', 'failed') AND (j.status IS NULL OR j.status IN ('completed', 'failed'))")
 def _(m: Model) -> DataFrame:
-    return m.jobs.groupBy("type").agg((F.max(F.when(c("status") == "completed", c("retries")).otherwise(-1)) + 1).alias("next_stage"))
+    """Open activities that a seventh of the jobs, which are gone, and the ended ones leave behind."""
+    return us.synced_activities(m.activities, m.jobs.where("id % 7 <> 0"), TERMINAL)
+
+
+@query("r13_resume_by_stage", """, d AS (SELECT id, id % 3 AS version FROM jobs), k AS (SELECT id, CASE WHEN id % 11 = 0 THEN 1 WHEN id % 13 = 0 THEN 3 ELSE 2 END AS format, CASE WHEN id % 5 = 0 THEN id % 3 + 1 ELSE id % 3 END AS v, CASE WHEN id % 4 = 0 THEN NULL ELSE id % 10 END AS last FROM jobs WHERE id % 6 <> 0),
+s AS (SELECT d.id, CASE WHEN v = version THEN coalesce(CASE format WHEN 2 THEN last WHEN 1 THEN last - CASE WHEN last >= 4 THEN 1 ELSE 0 END END, 0) ELSE 0 END AS done FROM d LEFT JOIN k USING (id))
+SELECT id AS document_id, stage, stage > done AS run FROM s, range(1, 10) AS r(stage)""")
+def _(m: Model) -> DataFrame:
+    """Which of nine stages are to run for each of as many documents as there are jobs: checkpoints of both formats, of
+    unknown ones, and of other versions of the document."""
+    documents = m.jobs.select("id", (c("id") % 3).alias("version"))
+    form = F.when(c("id") % 11 == 0, 1).when(c("id") % 13 == 0, 3).otherwise(2)
+    kept = m.jobs.where("id % 6 <> 0").select(c("id").alias("document_id"), form.alias("format"), (c("id") % 3 + (c("id") % 5 == 0).cast("int")).alias("document_version"), F.when(c("id") % 4 != 0, c("id") % 10).alias("last_stage"))
+    return us.resume(kept, documents, 9)
 
 
 @query("r14_retention", f"SELECT id FROM activities WHERE status = 'completed' AND made < {NOW} - 30")
@@ -299,11 +331,24 @@ def _(m: Model) -> DataFrame:
     return m.jobs.withColumn("before", before).where("before is null or before <> status").select("id")
 
 
-@query("s5_import", "SELECT id, length(body) > 0 AS ok FROM (SELECT id, trim(regexp_replace(html, '<[^>]+>', ' ', 'g')) AS body FROM web)")
+FILES = """, files AS (SELECT id, 'text/html' AS mime, html AS body FROM web UNION ALL SELECT id + 1000000, 'text/markdown', concat('# ', url, chr(10), '**bold** [link](', url, ')') FROM web UNION ALL SELECT id + 2000000, 'text/plain', url FROM web
+  UNION ALL SELECT id + 3000000, 'application/zip', url FROM web UNION ALL SELECT id + 4000000, 'text/plain', repeat('x', 10485761) FROM web WHERE id = 0 UNION ALL SELECT id + 5000000, NULL, url FROM web WHERE id = 0)"""
+
+
+@query("s5_import", FILES + r""" SELECT id, mime, CASE WHEN length(body) > 10485760 THEN 'too large' WHEN mime IS NULL OR mime NOT IN ('text/html', 'text/markdown', 'text/plain') THEN 'unsupported mime type' END AS error,
+  CASE WHEN length(body) <= 10485760 THEN CASE mime WHEN 'text/plain' THEN body WHEN 'text/markdown' THEN regexp_replace(regexp_replace(regexp_replace(body, '(?m)^#{1,6}\s+', '', 'g'), '\*\*([^*]+)\*\*', '\1', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g')
+  WHEN 'text/html' THEN trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(body, '<script[^>]*>.*?</script>', '', 'gis'), '<style[^>]*>.*?</style>', '', 'gis'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' ', 'gi'), '&amp;', '&', 'gi'), '&lt;', '<', 'gi'), '&gt;', '>', 'gi'), '&quot;', '"', 'gi'), '&#39;', ''''), '\s+', ' ', 'g')) END END AS plain FROM files""")
 def _(m: Model) -> DataFrame:
+    """Files of each mime type, one that is too large, and types that are not known."""
     from narrata.sources.importers import imported
 
-    return imported(m.web.select("id", lit("text/html").alias("mime"), c("html").alias("body"))).select("id", (F.length("plain") > 0).alias("ok"))
+    def files(first: int, mime: str | None, body: Column, rows: str = "true") -> DataFrame:
+        return m.web.where(rows).select((c("id") + first).alias("id"), lit(mime).cast("string").alias("mime"), body.alias("body"))
+
+    marked = F.concat(lit("# "), "url", lit("\n**bold** [link]("), "url", lit(")"))
+    every = files(0, "text/html", c("html")).unionByName(files(1_000_000, "text/markdown", marked)).unionByName(files(2_000_000, "text/plain", c("url"))).unionByName(files(3_000_000, "application/zip", c("url")))
+    every = every.unionByName(files(4_000_000, "text/plain", F.repeat(lit("x"), lit(10_485_761)), "id = 0")).unionByName(files(5_000_000, None, c("url"), "id = 0"))
+    return imported(every).select("id", "mime", "error", "plain")
 
 
 @query("s9_export")

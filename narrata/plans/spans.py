@@ -68,22 +68,34 @@ def _(m: Model) -> DataFrame:
 
 @query("t10_mentions_from_names")
 def _(m: Model) -> DataFrame:
-    """Occurrences placed in their document's segments, with positions relative to the segment."""
-    found = so.occurrences(m.texts.withColumn("name", lit("and")), "name").withColumnRenamed("start", "at")
-    pieces = so.segments(m.texts).select("id", "idx", c("start").alias("start_at"), c("end").alias("end_at"))
-    return rel.containing(found, pieces, "id", "at", width=4096).select("id", "idx", (c("at") - c("start_at")).alias("relative_start"), (c("end") - c("start_at")).alias("relative_end"), "confidence")
+    """Mentions of each text's first word, with its second as alias, and the facets they belong to: every even text has
+    one for its first word, every text divisible by three one for its second."""
+    w = F.split(F.trim(F.regexp_replace("body", r"\s+", " ")), " ")
+    named = m.texts.where("body is not null").select("id", "body", F.get(w, lit(0)).alias("name"), F.filter(F.slice(w, 2, 1), lambda x: x != "").alias("aliases"))
+    first = named.where("id % 2 = 0").select(c("id").alias("node_id"), (c("id") * 10).alias("id"), c("name").alias("content"))
+    second = named.where("id % 3 = 0").select(c("id").alias("node_id"), (c("id") * 10 + 1).alias("id"), F.upper(F.get("aliases", lit(0))).alias("content"))
+    return so.linked_mentions(named, first.unionByName(second), "name", "aliases")
 
 
 def moved(m: Model) -> DataFrame:
-    """Mentions of 40 characters in texts to whose head 25 characters were added."""
+    """Mentions of 40 characters in texts to whose head 25 characters were added; a third were written a little otherwise."""
+    source = F.substring("body", 201, 40)
     return m.texts.where("n_chars > 400").select(
-        "id", F.concat(lit("Some words were put here. "), "body").alias("body"), F.substring("body", 201, 40).alias("source"), F.sha2(F.substring("body", 201, 40), 256).alias("digest"),
+        "id", F.concat(lit("Some words were put here. "), "body").alias("body"), F.when(c("id") % 3 == 0, F.concat(F.substring(source, 1, 37), lit("xyz"))).otherwise(source).alias("source"), F.sha2(F.substring("body", 201, 40), 256).alias("digest"),
         lit(200).alias("start_at"), lit(240).alias("end_at"), lit(0).alias("seg_start"), F.when(c("id") % 2 == 0, lit(400)).otherwise(lit(100)).alias("seg_end"),
     )
 
 
 @query("t11_fuzzy_relocation")
+def _(m: Model) -> DataFrame:
+    return so.fuzzy(moved(m))
+
+
 @query("t12_segment_first")
+def _(m: Model) -> DataFrame:
+    return so.segment_first(moved(m))
+
+
 @query("t13_mention_resolution")
 def _(m: Model) -> DataFrame:
     return so.relocated(moved(m))
@@ -136,10 +148,5 @@ def _(m: Model) -> DataFrame:
 
 @query("c6_overflow_split")
 def _(m: Model) -> DataFrame:
-    """Texts that are too long for a batch, in halves at the sentence end nearest to the middle."""
-
-    def work(text: str) -> list[tuple]:
-        cut = sp.nearest_stop(text, len(text) // 2)
-        return [(0, 0, len(text))] if len(text) <= 3000 or not 0 < cut < len(text) else [(0, 0, cut), (1, cut, len(text))]
-
-    return so.spread(m.texts.where("body is not null"), ["id", "body"], work, "id bigint, part int, start int, end int")
+    """Batches of three texts each, of which 9,000 characters fit."""
+    return so.split_overflow(m.texts.select(F.floor(c("id") / 3).alias("batch"), "id", "body"), 9000)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -86,3 +87,59 @@ def deduct(requests: DataFrame, quota: DataFrame, user: str = "user_id") -> Data
     """
     running = F.sum("cost").over(Window.partitionBy(user).orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
     return requests.join(quota, user).withColumn("used", running).withColumn("accepted", F.col("used") <= F.col("quota"))
+
+
+def deduct_optimistic(requests: DataFrame, quota: DataFrame, risky: float = 0.8, user: str = "user_id") -> DataFrame:
+    """Requests (user, id, cost) in order of id: (user, id, mode, accepted, consumed).
+
+    While a user's consumption is under `risky` of the quota a request is optimistic: it is deducted if it fits at that
+    moment. From then on requests are strict: reserved first, so that consumption and what is held may not pass the
+    quota. A request that is refused consumes nothing, and later smaller ones may fit. Each depends on those before it,
+    so a user's requests of the period are one task's unit.
+    """
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("id")
+        limit, used, out = float(part["quota"].iloc[0]), 0.0, []
+        for cost in part["cost"].astype(float):
+            mode = "strict" if limit <= 0 or used / limit >= risky else "optimistic"
+            fits = used + cost <= limit
+            used += cost if fits else 0.0
+            out.append((mode, fits, used))
+        return part[[user, "id"]].assign(mode=[x[0] for x in out], accepted=[x[1] for x in out], consumed=[x[2] for x in out])
+
+    kinds = {f.name: f.dataType.simpleString() for f in requests.schema}
+    return requests.join(quota, user).select(user, "id", "cost", "quota").groupBy(user).applyInPandas(fold, f"{user} {kinds[user]}, id {kinds['id']}, mode string, accepted boolean, consumed double")
+
+
+def consumer_state(log: DataFrame, groups: DataFrame, acked: DataFrame) -> DataFrame:
+    """(grp, channel, produced, delivered, pending, oldest, lag) of each consumer group and channel of a stream.
+
+    log: id, channel; groups: grp, channel, last (the id delivered last); acked: grp, id. Delivered entries that were
+    not acknowledged are pending, the oldest of them by id; entries after the last one delivered are the lag.
+    """
+    each = groups.join(log.select("id", "channel"), "channel").join(acked.select("grp", "id", F.lit(True).alias("_a")).distinct(), ["grp", "id"], "left")
+    sent = F.col("id") <= F.col("last")
+    open_ = sent & F.col("_a").isNull()
+    n = lambda x: F.count(F.when(x, 1))
+    return each.groupBy("grp", "channel").agg(F.count("*").alias("produced"), n(sent).alias("delivered"), n(open_).alias("pending"), F.min(F.when(open_, F.col("id"))).alias("oldest"), n(~sent).alias("lag"))
+
+
+def resume(checkpoints: DataFrame, documents: DataFrame, stages: int, format_version: int = 2) -> DataFrame:
+    """(document_id, stage, run): which of stages 1 to `stages` are still to run.
+
+    checkpoints: document_id, format, document_version, last_stage (null: none completed). One counts only for the
+    document's current version. In format 1 a later removed stage 4 stood between: its stages from 4 on are one less
+    now. Other formats are unknown and count for nothing.
+    """
+    last = F.when(F.col("format") == format_version, F.col("last_stage")).when(F.col("format") == 1, F.col("last_stage") - (F.col("last_stage") >= 4).cast("int"))
+    known = checkpoints.select("document_id", F.col("document_version").alias("_v"), last.alias("_last"))
+    state = documents.select(F.col("id").alias("document_id"), "version").join(known, "document_id", "left")
+    done = F.when(F.col("_v") == F.col("version"), F.coalesce("_last", F.lit(0))).otherwise(0)
+    return state.select("document_id", F.explode(F.sequence(F.lit(1), F.lit(stages))).alias("stage"), done.alias("_done")).select("document_id", "stage", (F.col("stage") > F.col("_done")).alias("run"))
+
+
+def synced_activities(activities: DataFrame, jobs: DataFrame, terminal: list[str]) -> DataFrame:
+    """(id, status) of open activities whose job ended, with its status, or is gone, as failed."""
+    both = activities.where(~F.col("status").isin(terminal)).join(jobs.select(F.col("id").alias("job_id"), F.col("status").alias("_now")), "job_id", "left")
+    return both.where(F.col("_now").isNull() | F.col("_now").isin(terminal)).select("id", F.coalesce("_now", F.lit("failed")).alias("status"))
