@@ -47,29 +47,26 @@ def group(text: Column, bits: int) -> Column:
 def assign(docs: DataFrame, n: int = 16, bits: int = 16) -> DataFrame:
     """All columns given, with size, shard (0 to n - 1) and slot (gapless from 0 in each shard).
 
-    size: UTF-8 bytes of the text (null: none) plus 1. Rows keep their order by group, part and doc_id in a shard; equal rows may
-    swap slots, which gives the same table. An empty table gives an empty result. Columns of the input named size,
-    shard or slot give way to the new ones; names that begin with an underscore and `shard` are reserved.
+    size: UTF-8 bytes of the text (null: none) plus 1. Rows keep their order by group, part and doc_id in a shard; equal
+    rows may swap slots, which gives the same table; null ids come first. An empty table gives an empty result. Columns
+    of the input named size, shard or slot give way to the new ones; all others are kept, whatever their names.
     """
     if not 1 <= bits <= 24:
         raise ValueError("bits must be from 1 to 24: the driver holds one number for each group")
+    kept = [F.col(f"`{name}`") for name in docs.columns if name not in ("size", "shard", "slot")]
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint")
-    grouped = docs.drop("size", "shard", "slot").withColumns(
-        {"size": size, "_shard_group": group(F.col("text"), bits), "_shard_part": F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")}
-    )
-    counts = grouped.groupBy("_shard_group", "_shard_part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
-    groups = sorted((row[0], row[1]) for row in counts.groupBy("_shard_group").agg(F.sum("bytes")).collect())
+    grouped = docs.select(F.struct(*kept).alias("row"), F.col("doc_id").alias("id"), size.alias("size"), group(F.col("text"), bits).alias("group"), F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int").alias("part"))
+    counts = grouped.groupBy("group", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+    groups = sorted((row[0], row[1]) for row in counts.groupBy("group").agg(F.sum("bytes")).collect())
     _, firsts = minimax([x for _, x in groups], n)
     cuts = [groups[k][0] for k in firsts[1:] if groups]
-    shard = reduce(lambda a, b: a + b, [(F.col("_shard_group") >= c).cast("int") for c in cuts], F.lit(0))
-    before = Window.partitionBy("_shard").orderBy("_shard_group", "_shard_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_shard", shard).select(
-        F.col("_shard_group").alias("_g"), F.col("_shard_part").alias("_p"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("_start")
-    )
-    inside = Window.partitionBy("_shard_group", "_shard_part").orderBy("doc_id")
-    numbered = grouped.withColumn("_row", F.row_number().over(inside) - 1)
-    placed = numbered.join(starts, (F.col("_shard_group") == F.col("_g")) & (F.col("_shard_part") == F.col("_p")))
-    return placed.withColumn("shard", shard).withColumn("slot", (F.col("_start") + F.col("_row")).cast("bigint")).drop("_shard_group", "_shard_part", "_g", "_p", "_start", "_row")
+    shard = reduce(lambda a, b: a + b, [(F.col("group") >= c).cast("int") for c in cuts], F.lit(0))
+    before = Window.partitionBy("shard").orderBy("group", "part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("shard", shard).select(F.col("group").alias("g"), F.col("part").alias("p"), "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("group", "part").orderBy("id")
+    numbered = grouped.withColumn("nth", F.row_number().over(inside) - 1)
+    placed = numbered.join(starts, (F.col("group") == F.col("g")) & (F.col("part") == F.col("p")))
+    return placed.select("row.*", "size", "shard", (F.col("start") + F.col("nth")).cast("bigint").alias("slot"))
 
 
 def digest(docs: DataFrame, n: int = 16, bits: int = 16) -> DataFrame:

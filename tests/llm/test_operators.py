@@ -356,7 +356,7 @@ def test_minimax_is_the_smallest_capacity():
         capacity, cuts = sharding.minimax(sizes, n)
         brute = min(c for c in range(max(sizes), sum(sizes) + 1) if len(sharding.greedy(sizes, c)) <= n)
         parts = [sum(sizes[a:b]) for a, b in zip(cuts, [*cuts[1:], len(sizes)])]
-        assert capacity == brute == max(parts) or max(parts) <= capacity == brute
+        assert capacity == brute == max(parts)
         assert sum(parts) == sum(sizes) and len(parts) <= n
 
 
@@ -378,8 +378,13 @@ def test_shards_keep_equal_texts_and_number_slots(docs):
         by_shard[r.shard] += r["size"]
     capacity, _ = sharding.minimax([v for _, v in sorted(cells.items())], 4)
     assert max(by_shard.values()) == capacity
-    kept = sharding.assign(docs, n=4)
-    assert {"hash", "node", "text", "shard", "slot", "size"} <= set(kept.columns)
+    names = ["_row", "_g", "_p", "_start", "_shard", "row", "group", "part", "id", "nth", "start", "g", "p", "bytes", "rows", "a.b"]
+    odd = docs.withColumns({name: F.concat(F.lit(name), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for name in names})
+    kept = sharding.assign(odd, n=4)
+    assert kept.columns == [*(c for c in odd.columns if c not in ("size", "shard", "slot")), "size", "shard", "slot"]
+    placed = kept.collect()
+    assert all(r[name] == f"{name}{'-' if r.doc_id is None else r.doc_id}" for r in placed for name in names)
+    assert Counter((r.doc_id, r["size"], r.shard, r.slot) for r in placed) == Counter((r.doc_id, r["size"], r.shard, r.slot) for r in got)
 
 
 # --- decontamination
