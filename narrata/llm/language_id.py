@@ -207,5 +207,6 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
     A text that is null or has no letter is `und` with score 0. Equal rows are predicted alike; an empty table gives
     an empty result; lang, source and other columns are not read.
     """
+    kind = docs.schema["doc_id"].dataType.simpleString()
     own = docs.select("doc_id", F.lower("text").alias("low"), F.col("text").rlike(r"\p{L}").alias("letters"))
-    return own.mapInArrow(predictor(net), "doc_id bigint, lang_pred string, score double")
+    return own.mapInArrow(predictor(net), f"doc_id {kind}, lang_pred string, score double")
