@@ -6,7 +6,8 @@ import math
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def output_reserve(characters: float) -> int:
@@ -110,11 +111,18 @@ def calibrate(history: list[tuple[float, float, bool]], multiplier: float = 1.0)
 
 
 def calibrated(frame: DataFrame) -> DataFrame:
-    """(model, id, multiplier) for rows of model, id, estimated, actual and overflowed, folded in order of id by model."""
+    """(model, id, multiplier) for rows of model, id, estimated, actual and overflowed, folded in order of id by model.
 
-    def work(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("id")
-        values = calibrate(list(part[["estimated", "actual", "overflowed"]].itertuples(index=False, name=None)))
-        return pd.DataFrame({"model": part.model, "id": part.id, "multiplier": values})
-
-    return frame.groupBy("model").applyInPandas(work, "model string, id bigint, multiplier double")
+    Each batch turns the multiplier m into max(a * m, b); such steps compose to one of the same form. So the value after
+    each batch is A * max(1, greatest b / A so far), A being the product of all a so far: running sums and greatest
+    values of logarithms, which need no fold of one row after another.
+    """
+    order = Window.partitionBy("model").orderBy("id")
+    last, so_far = order.rowsBetween(-19, 0), order.rowsBetween(Window.unboundedPreceding, 0)
+    easy = ~F.col("overflowed") & (F.col("actual") < 0.8 * F.col("estimated"))
+    calm = (F.count("*").over(last) == 20) & F.bool_and(easy).over(last)
+    steps = frame.withColumn("_calm", calm).select(
+        "model", "id", F.when(F.col("overflowed"), math.log(1.5)).when(F.col("_calm"), math.log(0.95)).otherwise(0.0).alias("_a"), F.when(F.col("overflowed"), math.log(2.0)).when(F.col("_calm"), 0.0).alias("_b")
+    )
+    summed = steps.withColumn("_s", F.sum("_a").over(so_far))
+    return summed.select("model", "id", F.exp(F.col("_s") + F.greatest(F.lit(0.0), F.max(F.col("_b") - F.col("_s")).over(so_far))).alias("multiplier"))

@@ -53,21 +53,27 @@ def with_defaults(left: DataFrame, right: DataFrame, key: str, defaults: dict[st
     return left.join(right, key, "left").fillna(defaults)
 
 
-def as_of(points: DataFrame, states: DataFrame, key: str, at: str, order: str, value: str, before_first: str = "null") -> DataFrame:
+def as_of(points: DataFrame, states: DataFrame, key: str, at: str, order: str, value: str, before_first: str = "null", width: int = 64) -> DataFrame:
     """For each point the value of the latest state at or before it; ties go to the greater value.
 
-    Both sides are merged and swept once by key and position, so a key with many states costs no product. before_first
-    says what a point before all states gets: null, or the first state.
+    Both sides are merged and swept by key and bin of `width` positions, so a key with many states costs no product and
+    one with most of the points is many tasks; what a bin begins with is carried over from the bins before by a sweep of
+    one row a bin. before_first says what a point before all states gets: null, or the first state.
     """
     both = points.withColumn("_at", F.col(at)).withColumn("_is", F.lit(1)).withColumn("_v", F.lit(None).cast(states.schema[value].dataType))
     marks = states.select(F.col(key), F.col(order).alias("_at"), F.lit(0).alias("_is"), F.col(value).alias("_v"))
-    swept = both.unionByName(marks, allowMissingColumns=True)
-    order_by = Window.partitionBy(key).orderBy("_at", "_is", F.col("_v").asc_nulls_first())
-    found = F.last(F.col("_v"), ignorenulls=True).over(order_by.rowsBetween(Window.unboundedPreceding, 0))
+    swept = both.unionByName(marks, allowMissingColumns=True).withColumn("_bin", F.floor(F.col("_at") / width))
+    inside = Window.partitionBy(key, "_bin").orderBy("_at", "_is", F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    found = swept.withColumn("_found", F.last("_v", ignorenulls=True).over(inside)).where("_is = 1")
+    ends = swept.groupBy(F.col(key).alias("_k"), F.col("_bin").alias("_b")).agg(F.max(F.when(F.col("_is") == 0, F.struct("_at", "_v")))["_v"].alias("_last"))
+    earlier = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("_carry", F.last("_last", ignorenulls=True).over(earlier)).drop("_last")
+    whole = found.join(carried, F.col(key).eqNullSafe(F.col("_k")) & F.col("_bin").eqNullSafe(F.col("_b"))).drop("_k", "_b")
+    out = F.coalesce("_found", "_carry")
     if before_first == "first":
-        ahead = F.first(F.col("_v"), ignorenulls=True).over(order_by.rowsBetween(0, Window.unboundedFollowing))
-        found = F.coalesce(found, ahead)
-    return swept.withColumn(value, found).where("_is = 1").drop("_at", "_is", "_v")
+        first = states.groupBy(F.col(key).alias("_k")).agg(F.min(F.struct(order, value))[value].alias("_first"))
+        whole, out = whole.join(first, F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k"), F.coalesce(out, "_first")
+    return whole.withColumn(value, out).drop("_at", "_is", "_v", "_bin", "_found", "_carry", "_first")
 
 
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column, closed: bool = False) -> Column:

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from narrata.operators.lineage import settle
+
 
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
@@ -63,12 +65,15 @@ def nearest(frame: DataFrame, query: list[float], k: int, vector: str = "vec", l
     return (scored if least is None else scored.where(F.col("similarity") >= least)).orderBy(F.col("similarity").desc(), "id").limit(k)
 
 
-def pairs(frame: DataFrame, key: str, least: float, blocks: int = 1) -> DataFrame:
+def pairs(frame: DataFrame, key: str, least: float, blocks: int | None = None, rows: int = 1000) -> DataFrame:
     """Pairs (a, b, similarity) of one key at or over a similarity, a < b; null vectors pair with none.
 
-    Exact. Vectors are scaled once, so a pair costs one dot product. With `blocks` a key's rows are cut in that many
-    blocks and each pair of blocks is a task of its own, so that a key with many rows spreads over the cluster.
+    Exact. Vectors are scaled once, so a pair costs one dot product. A key's rows are cut in `blocks` blocks and each
+    pair of blocks is a group of its own, so that a key with many rows spreads over the cluster; without a number, in
+    as many as leave about `rows` rows of the largest key to a block.
     """
+    if blocks is None:
+        blocks = max(1, math.ceil((frame.groupBy(key).count().agg(F.max("count")).head()[0] or 0) / rows))
     own = frame.where(F.col("vec").isNotNull()).select("id", key, scaled(F.col("vec")).alias("v")).withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
     left = own.select(key, F.col("id").alias("x"), F.col("v").alias("vx"), F.col("_b").alias("bx")).withColumn("by", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = own.select(key, F.col("id").alias("y"), F.col("v").alias("vy"), F.col("_b").alias("by")).withColumn("bx", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -190,11 +195,12 @@ def relevance(sentences: DataFrame, entities: DataFrame, segment: str, own: floa
 
     Each entity is held against all sentences, block by block.
     """
+    unit = lambda f, *keys: settle(f.select(*keys, scaled(F.col("vec")).alias("_u")))
     means = centroid(sentences, [segment], "vec")
-    both = sentences.join(means, segment)
-    scored = product(both, entities.select(F.col("id").alias("entity"), F.col("vec").alias("_e")), "id", "entity")
-    clamp = lambda x: F.greatest(F.lit(0.0), x)
-    blend = own * clamp(cosine(F.col("vec"), F.col("_e"))) + (1 - own) * clamp(cosine(F.col("centroid"), F.col("_e")))
+    both = unit(sentences, "id", segment).join(means, segment)
+    scored = product(both, unit(entities, F.col("id").alias("entity")).withColumnRenamed("_u", "_e"), "id", "entity")
+    clamp = lambda v: F.coalesce(F.greatest(F.lit(0.0), F.when(F.size(v) == F.size("_e"), total(F.zip_with(v, "_e", lambda x, y: x * y)))), F.lit(0.0))
+    blend = own * clamp("_u") + (1 - own) * clamp("centroid")
     return scored.select("entity", "id", s_curve(blend).alias("relevance"))
 
 

@@ -187,7 +187,8 @@ RECENT = ", r AS (SELECT operation, value, row_number() OVER (PARTITION BY opera
 @query("a26_recency_average", f"{RECENT} SELECT operation, round(sum(value * pow(0.7, age)) / sum(pow(0.7, age)), 9) AS ratio FROM r WHERE age < 20 GROUP BY operation")
 def _(m: Model) -> DataFrame:
     ratio = m.usage.select("operation", "id", (c("output_tokens") / (c("input_tokens") + 1)).alias("value"))
-    aged = ratio.withColumn("age", F.row_number().over(Window.partitionBy("operation").orderBy(c("id").desc())) - 1).where("age < 20")
+    # The filter is on the row number itself: Spark then keeps 20 rows an operation in each task before the shuffle.
+    aged = ratio.withColumn("nth", F.row_number().over(Window.partitionBy("operation").orderBy(c("id").desc()))).where("nth <= 20").withColumn("age", c("nth") - 1)
     weight = F.pow(lit(0.7), c("age"))
     return aged.groupBy("operation").agg(F.round(F.sum(c("value") * weight) / F.sum(weight), 9).alias("ratio"))
 

@@ -192,10 +192,14 @@ def _(m: Model) -> DataFrame:
     return m.segments.withColumn("n", n).select("id", F.round(value, 9).alias("priority"))
 
 
-@query("c4_calibration")
+@query("c4_calibration", """, h AS (SELECT model, id, input_tokens + 100.0::DOUBLE AS estimated, output_tokens::DOUBLE AS actual, id % 61 = 0 AS over, row_number() OVER (PARTITION BY model ORDER BY id) AS n FROM usage),
+k AS (SELECT *, count(*) OVER w = 20 AND bool_and(NOT over AND actual < 0.8 * estimated) OVER w AS calm FROM h WINDOW w AS (PARTITION BY model ORDER BY id ROWS 19 PRECEDING)),
+f AS (SELECT model, id, n, CASE WHEN over THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS m FROM k WHERE n = 1 UNION ALL
+  SELECT k.model, k.id, k.n, CASE WHEN over THEN greatest(f.m * 1.5::DOUBLE, 2.0::DOUBLE) WHEN calm THEN greatest(f.m * 0.95::DOUBLE, 1.0::DOUBLE) ELSE f.m END FROM f JOIN k ON k.model = f.model AND k.n = f.n + 1)
+SELECT model, id, round(m, 6) AS multiplier FROM f""")
 def _(m: Model) -> DataFrame:
     history = m.usage.select("model", "id", (c("input_tokens") + 100.0).alias("estimated"), c("output_tokens").cast("double").alias("actual"), (c("id") % 61 == 0).alias("overflowed"))
-    return pk.calibrated(history)
+    return pk.calibrated(history).withColumn("multiplier", F.round("multiplier", 6))
 
 
 @query("c5_edit_chain", "SELECT id, CASE WHEN retries = 0 THEN 'skip' WHEN status = 'queued' OR retries >= 4 THEN 'regenerate' ELSE 'apply' END AS action FROM jobs")
@@ -246,10 +250,12 @@ def _(m: Model) -> DataFrame:
     return us.consumer_state(m.events_log, groups, acked)
 
 
-@query("s16_stream_windows")
+@query("s16_stream_windows", """SELECT CAST(epoch(date_trunc('hour', CAST(ts AS TIMESTAMP))) AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2
+HAVING CAST(epoch(date_trunc('hour', any_value(CAST(ts AS TIMESTAMP)))) AS BIGINT) + 3600 <= (SELECT epoch(max(CAST(ts AS TIMESTAMP))) FROM events) - 7200""")
 def _(m: Model) -> DataFrame:
     """Hourly counts by type of a watermarked stream, as extension: windows the watermark has closed."""
-    return us.windowed_counts(us.event_stream(m.spark, m.folder, ["ts", "event_type"]), "1 hour", "2 hours", us.new_folder(m.spark, "windows"))
+    found = us.windowed_counts(us.event_stream(m.spark, m.folder, ["ts", "event_type"]), "1 hour", "2 hours", us.new_folder(m.spark, "windows"))
+    return found.select(F.unix_timestamp("start").alias("start"), "event_type", "n")
 
 
 @query("r6_reservation_expiry", f"SELECT id, CASE WHEN status = 'completed' THEN 'final' WHEN made + 5 < {NOW} THEN 'released' ELSE 'held' END AS state FROM jobs")
@@ -351,7 +357,7 @@ def _(m: Model) -> DataFrame:
     return imported(every).select("id", "mime", "error", "plain")
 
 
-@query("s9_export")
+@query("s9_export", r"SELECT CAST(sum(len(regexp_split_to_array(body, '\r\n|\r|\n'))) AS BIGINT) AS lines FROM texts WHERE body IS NOT NULL")
 def _(m: Model) -> DataFrame:
     """Texts written as text files and read back: how many lines came through."""
     from narrata.sources.importers import export_text
