@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 TITLES = "mr mrs ms miss dr professor prof sir lord lady count countess duke duchess king queen prince princess captain general colonel major sergeant detective officer father mother brother sister uncle aunt grandpa grandma grandfather grandmother".split()
 ARTICLES = "the a an that this".split()
 EPITHETS = ["the great", "the terrible", "the wise", "the brave", "the bold", "the elder", "the younger", "the first", "the second", "the third", "jr", "junior", "sr", "senior"]
-PRONOUNS = (
-    "i you he she it we they me him her us them my mine your yours his hers its our ours their theirs myself yourself himself herself itself ourselves yourselves themselves "
-    "this that these those anyone anybody anything everyone everybody everything someone somebody something nobody nothing one ones another other others who whom whose what which"
-).split() + ["no one"]
+PRONOUNS = [
+    "i", "you", "he", "she", "it", "we", "they", "me", "him", "her", "us", "them", "my", "mine", "your", "yours", "his", "hers", "its", "our", "ours",
+    "their", "theirs", "myself", "yourself", "himself", "herself", "itself", "ourselves", "yourselves", "themselves", "this", "that", "these",
+    "those", "anyone", "anybody", "anything", "everyone", "everybody", "everything", "someone", "somebody", "something", "nobody", "no one",
+    "nothing", "one", "ones", "another", "other", "others", "who", "whom", "whose", "what", "which",
+]
 WEAK = [
     r"^an? (event|thing|action|change) (occurs?|happens?)",
     r"^something (occurs?|happens?)",
@@ -24,6 +26,17 @@ WEAK = [
     r"^transition",
 ]
 AUXILIARY = r"(do|does|is|are|was|were|have|has|had|can|will|would|should|may|might|must)"
+# Fixed values that decide results, each pattern with what takes its place, in this order.
+PAGE = [
+    (r"(?is)<script[^>]*>.*?</script>", ""), (r"(?is)<style[^>]*>.*?</style>", ""), (r"<[^>]+>", " "), ("(?i)&nbsp;", " "), ("(?i)&amp;", "&"),
+    ("(?i)&lt;", "<"), ("(?i)&gt;", ">"), ("(?i)&quot;", '"'), ("&#39;", "'"), (r"\s+", " "),
+]
+MARKDOWN = [(r"(?m)^#{1,6}\s+", ""), (r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*]+)\*", "$1"), (r"`([^`]+)`", "$1"), (r"\[([^\]]+)\]\([^)]+\)", "$1")]
+EXPORT = [
+    (r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""), (r"(?is)<script[^>]*>.*?</script>", ""), (r'<[^>]+data-type="mention"[^>]*data-label="([^"]*)"[^>]*>.*?</[^>]+>', "@$1"),
+    (r'<[^>]+data-type="mention"[^>]*>([^<]*)</[^>]+>', "@$1"), (r'style="[^"]*var\([^"]*"', ""),
+]
+EMAIL, USERNAME, SPECIAL = r"^[^\s@]+@[^\s@]+\.[^\s@]+$", r"^[a-zA-Z0-9_]{3,50}$", r"[!@#$%^&*()_+\-=\[\]{}|;:,.<>?]"
 
 TITLE = f"^({'|'.join(TITLES)})\\.?\\s+"
 ARTICLE = f"^({'|'.join(ARTICLES)})\\s+"
@@ -192,32 +205,23 @@ def truncate(text: Column, limit: int) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit - 3), F.lit("..."))).otherwise(text)
 
 
+def replaced(text: Column, patterns: list[tuple[str, str]]) -> Column:
+    return reduce(lambda out, p: F.regexp_replace(out, *p), patterns, text)
+
+
 def html_text(html: Column) -> Column:
     """Text of a page: scripts and styles dropped, tags as blanks, six entities decoded, white space collapsed."""
-    out = html
-    for pattern, by in (
-        (r"(?is)<script[^>]*>.*?</script>", ""), (r"(?is)<style[^>]*>.*?</style>", ""), (r"<[^>]+>", " "), ("(?i)&nbsp;", " "), ("(?i)&amp;", "&"),
-        ("(?i)&lt;", "<"), ("(?i)&gt;", ">"), ("(?i)&quot;", '"'), ("&#39;", "'"), (r"\s+", " "),
-    ):
-        out = F.regexp_replace(out, pattern, by)
-    return F.trim(out)
+    return F.trim(replaced(html, PAGE))
 
 
 def markdown_text(text: Column) -> Column:
     """Markdown without heading marks, bold, italic, code and link targets."""
-    out = text
-    for pattern, by in ((r"(?m)^#{1,6}\s+", ""), (r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*]+)\*", "$1"), (r"`([^`]+)`", "$1"), (r"\[([^\]]+)\]\([^)]+\)", "$1")):
-        out = F.regexp_replace(out, pattern, by)
-    return out
+    return replaced(text, MARKDOWN)
 
 
 def clean_html(html: Column) -> Column:
     """Markup for export: control characters, scripts and styles that use variables go; mentions become @label."""
-    out = F.regexp_replace(html, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
-    out = F.regexp_replace(out, r"(?is)<script[^>]*>.*?</script>", "")
-    out = F.regexp_replace(out, r'<[^>]+data-type="mention"[^>]*data-label="([^"]*)"[^>]*>.*?</[^>]+>', "@$1")
-    out = F.regexp_replace(out, r'<[^>]+data-type="mention"[^>]*>([^<]*)</[^>]+>', "@$1")
-    return F.regexp_replace(out, r'style="[^"]*var\([^"]*"', "")
+    return replaced(html, EXPORT)
 
 
 def span_context(text: Column, start: Column, end: Column, around: int = 50) -> Column:
@@ -227,13 +231,13 @@ def span_context(text: Column, start: Column, end: Column, around: int = 50) ->
 
 
 def valid_email(text: Column) -> Column:
-    return text.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$")
+    return text.rlike(EMAIL)
 
 
 def valid_username(text: Column) -> Column:
-    return text.rlike(r"^[a-zA-Z0-9_]{3,50}$")
+    return text.rlike(USERNAME)
 
 
 def valid_password(text: Column) -> Column:
     """Eight characters or more, and under sixteen a special one."""
-    return (F.length(text) >= 8) & ((F.length(text) >= 16) | text.rlike(r"[!@#$%^&*()_+\-=\[\]{}|;:,.<>?]"))
+    return (F.length(text) >= 8) & ((F.length(text) >= 16) | text.rlike(SPECIAL))
