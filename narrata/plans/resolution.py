@@ -14,6 +14,7 @@ from narrata.operators import vectors as vec
 from narrata.plans.functions import norm_sql, pairs
 from narrata.plans.registry import query
 from narrata.plans.relational import LIVE, NOW, TERMINAL, today, visible
+from narrata.sources import objects
 from narrata.sources.model import Model
 from narrata.streaming import usage as us
 
@@ -367,6 +368,18 @@ def _(m: Model) -> DataFrame:
     return m.spark.read.text(path).agg(F.count("*").alias("lines"))
 
 
+SECRET, BASE = b"an example secret", "https://objects.test"
+INNER, OUTER = ("".join(f"\\x{x:02X}" for x in pad) for pad in objects.pads(SECRET))
+
+
+@query("s15_signed_links", f"""SELECT id, concat('{BASE}/', key, '?method=GET&expires=', CAST(until AS STRING), '&signature=', sha256('{OUTER}'::BLOB || unhex(sha256('{INNER}'::BLOB || encode(concat('GET', chr(10), key, chr(10), CAST(until AS STRING))))))) AS link
+FROM (SELECT id, concat('media/', hash, '.png') AS key, 1700000000 + id AS until FROM media WHERE NOT deleted)""")
+def _(m: Model) -> DataFrame:
+    """A signed link, with an expiry of its own, for every active medium."""
+    key = F.concat(lit("media/"), "hash", lit(".png"))
+    return m.media.where("not deleted").select("id", objects.link(BASE, SECRET, lit("GET"), key, c("id") + 1_700_000_000).alias("link"))
+
+
 @query("s10_batch_append", "SELECT count(*) AS n FROM (SELECT id FROM mentions UNION ALL SELECT id FROM mentions WHERE is_key)")
 def _(m: Model) -> DataFrame:
     return m.mentions.select("id").unionByName(m.mentions.where("is_key").select("id")).agg(F.count("*").alias("n"))

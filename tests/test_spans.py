@@ -111,6 +111,31 @@ def test_reembedding_goes_on_after_a_crash(spark, tmp_path):
         assert got[node] == pytest.approx([x / size for x in sums])
 
 
+def test_objects_and_signed_links(spark, tmp_path):
+    import hashlib
+    import hmac
+
+    from narrata.sources import objects
+
+    store = objects.ObjectStore(spark, str(tmp_path / "store"))
+    store.put("a/one.bin", b"\x00\xff")
+    store.put("a/one.bin", b"two")
+    store.put("b.txt", "é".encode())
+    assert store.get("a/one.bin") == b"two" and store.get("none") is None
+    assert {(r.key, r["size"], bytes(r.content)) for r in store.objects("a/*").collect()} == {("a/one.bin", 3, b"two")}
+    assert store.delete("b.txt") and not store.delete("b.txt") and store.get("b.txt") is None
+    for key in ("", "../x", "a//b", "_x"):
+        with pytest.raises(ValueError):
+            store.put(key, b"")
+    for secret in (b"short", b"long" * 40):
+        frame = spark.createDataFrame([("GET", "a/é.png", 100), ("PUT", None, 100)], "method string, key string, expires bigint")
+        sign = objects.signature(secret, F.col("method"), F.col("key"), F.col("expires"))
+        got = frame.select(sign.alias("s")).collect()
+        assert got[0].s == hmac.new(secret, "GET\na/é.png\n100".encode(), hashlib.sha256).hexdigest() and got[1].s is None
+        ok = lambda given, now, method="GET": objects.valid_link(secret, F.lit(method), F.lit("a/é.png"), F.lit(100), F.lit(given), F.lit(now))
+        assert tuple(spark.range(1).select(ok(got[0].s, 100), ok(got[0].s, 101), ok(got[0].s, 1, "PUT"), ok("x", 1)).head()) == (True, False, False, False)
+
+
 def test_links_that_make_no_relationship(spark):
     ids = spark.createDataFrame([(1,), (2,), (2,)], "id bigint")
     wanted = spark.createDataFrame([(1, 2), (1, 9), (None, 1)], "src bigint, dst bigint")
