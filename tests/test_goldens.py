@@ -218,3 +218,24 @@ def test_allow_lists():
     for bad in ({"labels": ["Robot"]}, {"edge_types": ["HATES"]}, {"properties": ["a b"]}):
         with pytest.raises(ValueError):
             gr.check_allowed(**bad)
+
+
+#: Primary codes of Double Metaphone by the published rules, worked out by hand.
+PHONETIC = (
+    "Schmidt XMT, Smith SM0, Thomas TMS, Garcia KRS, Vaughan FKN, Hugh H, Caesar SSR, Michael MKL, Jose HS, Wright RT, Tough TF, Laugh LF, "
+    "Filipowicz FLPT, Bacher PKR, Knight NT, Accident AKST, Bertucci PRTX, Focaccia FKX, Thumb 0M, Rogier RJ, Xavier SF, Resnais RSN, "
+    "Wasserman ASRM, Uomo AM, Zhao J, Gnome NM, Cagney KKN, Tagliaro TKLR, Danger TNJR, Artois ART, Breaux PR, School SKL, Schooner SKNR, "
+    "Schermerhorn XRMR, Schenker XNKR, Sugar XKR, Island ALNT, Snider SNTR, Orchestra ARKS, Architect ARKT, Chianti KNT, Chemistry KMST, "
+    "Chorus KRS, Chore XR, Church XRX, Bach PK, McClellan MKLL, Harry HR, Jonathan JN0N, Mina MN, Lucy LS, Arthur AR0R, Quincey KNS, John JN, "
+    "Abraham APRH, Wilhelmina ALLM, Renfield RNFL, Vlad FLT, Potter PTR, Harker HRKR, Murray MR, Westenra ASTN, Dracula TRKL, Stephen STFN, "
+    "Steven STFN, Edge AJ, Edgar ATKR, Ghost KST, Ghislane JLN, Night NT, Campbell KMPL, Raspberry RSPR, Cabrillo KPRL, Judge JJ, Sciascia SS, "
+    "Sheila XL, Holmes HLMS, Nation NXN, Witch AX, Matthew M0, Hochmeier HKMR, Bajador PJTR, Pacheco PXK"
+)
+
+
+def test_phonetic_codes():
+    from narrata.functions.phonetic import primary_code
+
+    for name, code in (pair.split() for pair in PHONETIC.split(", ")):
+        assert primary_code(name) == primary_code(name.lower()) == code, name
+    assert primary_code(None) == primary_code("") == primary_code("12 -") == ""
