@@ -51,12 +51,24 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder on any file system that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a data folder; null and empty tables pass through as empty results."""
-    shared = shared_folder(spark)
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents of a data folder; null and empty tables pass through as empty results.
+
+    A stage's rows are deleted once the next stage's are written; the last ones are the result and stay.
+    """
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        path = f"{shared}/pipeline-{uuid.uuid4().hex}/{k}-{name}"
+        path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
