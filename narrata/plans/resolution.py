@@ -46,24 +46,32 @@ def _(m: Model) -> DataFrame:
     return own.select("id").join(found, "id", "left")
 
 
-@query("j26_character_context")
+@query("j26_character_context", f"""{LIVE}, who AS (SELECT id, document_id, name FROM nodes WHERE kind = 'character' AND NOT deleted),
+parts AS (SELECT character_id AS id, 'state' AS part, document_order::BIGINT AS position, id AS ref, phase AS detail FROM states UNION ALL SELECT node_id, 'facet', NULL, id, kind || ': ' || content FROM facets
+  UNION ALL SELECT node_id, 'mention', start_at, id, 'to ' || CAST(end_at AS STRING) FROM mentions UNION ALL SELECT src, 'edge', NULL, dst, edge_type FROM live)
+SELECT w.id, w.document_id, w.name, part, position, ref, detail FROM who w LEFT JOIN parts p ON p.id = w.id""")
 def _(m: Model) -> DataFrame:
-    """Everything about each character in one row: states, facets, mentions and edges as sorted lists."""
-    who = m.nodes.where("kind = 'character' and not deleted").select("id", "document_id", "name")
-    nested = lambda f, key, cols, name: f.groupBy(c(key).alias("id")).agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(name))
-    return (
-        who.join(nested(m.states, "character_id", ["document_order", "id", "phase"], "states"), "id", "left")
-        .join(nested(m.facets, "node_id", ["kind", "content", "id"], "facets"), "id", "left")
-        .join(nested(m.mentions, "node_id", ["start_at", "end_at", "id"], "mentions"), "id", "left")
-        .join(nested(visible(m), "src", ["edge_type", "dst"], "edges"), "id", "left")
-    )
+    """Everything about each character, a row a part: states, facets, mentions and edges; one without parts keeps a row.
 
+    Rows and not lists in one row: a character with a third of all mentions stays spread over tasks.
+    """
+    none = lit(None).cast("bigint")
 
-@query("j27_character_arc")
+    def part(frame: DataFrame, key: str, name: str, position: Column, ref: str, detail: Column) -> DataFrame:
+        return frame.select(c(key).alias("id"), lit(name).alias("part"), position.cast("bigint").alias("position"), c(ref).cast("bigint").alias("ref"), detail.alias("detail"))
+
+    parts = part(m.states, "character_id", "state", c("document_order"), "id", c("phase")).unionByName(part(m.facets, "node_id", "facet", none, "id", F.concat("kind", lit(": "), "content")))
+    parts = parts.unionByName(part(m.mentions, "node_id", "mention", c("start_at"), "id", F.concat(lit("to "), c("end_at").cast("string")))).unionByName(part(visible(m), "src", "edge", none, "dst", c("edge_type")))
+    return m.nodes.where("kind = 'character' and not deleted").select("id", "document_id", "name").join(parts, "id", "left")
+
+
+@query("j27_character_arc", """SELECT s.character_id, s.id, s.document_order, s.phase, lead(s.id) OVER (PARTITION BY s.character_id ORDER BY s.document_order, s.id) AS next_state, coalesce(f.facets, '') AS facets
+FROM states s LEFT JOIN (SELECT node_id, string_agg(DISTINCT content, ', ' ORDER BY content) AS facets FROM facets WHERE kind = 'state' GROUP BY node_id) f ON f.node_id = s.id""")
 def _(m: Model) -> DataFrame:
-    steps = m.states.withColumn("next_state", F.lead("id").over(Window.partitionBy("character_id").orderBy("document_order")))
-    facets = m.facets.where("kind = 'state'").groupBy(c("node_id").alias("id")).agg(F.sort_array(F.collect_set("content")).alias("facets"))
-    return steps.join(facets, "id", "left").groupBy("character_id").agg(F.sort_array(F.collect_list(F.struct("document_order", "id", "phase", "next_state", "facets"))).alias("arc"))
+    """A character's arc, a row a state: the state that follows, and the contents of its facets."""
+    steps = m.states.withColumn("next_state", F.lead("id").over(Window.partitionBy("character_id").orderBy("document_order", "id")))
+    facets = m.facets.where("kind = 'state'").groupBy(c("node_id").alias("id")).agg(F.array_join(F.sort_array(F.collect_set("content")), ", ").alias("facets"))
+    return rel.with_defaults(steps.select("character_id", "id", "document_order", "phase", "next_state"), facets, "id", {"facets": ""})
 
 
 @query("f10_phonetic")
