@@ -2,8 +2,8 @@
 
 A block is a line of a document, or a run of adjacent lines of a paragraph (a line without words ends one) that begins
 at any line and goes on while the lines between its first and last hold no more words than the longest template: a
-sentence wrapped over lines lies whole in such a run. A block's set is its distinct plain words. A template is found in a block that holds at
-least `threshold` of the template's words. Tokens are ordered by how often they occur in the corpus, rarest first.
+sentence wrapped over lines lies whole in such a run. A block's set is its distinct plain words. A template is found
+in a block that holds at least `threshold` of the template's words. Tokens are ordered by how many documents have them, rarest first.
 A block that reaches the threshold must hold one of the template's first size - ceil(threshold * size) + 1 tokens
 (prefix), at least ceil(threshold * size) words (length), and enough later tokens (position); those that pass are
 compared whole. Everything is a DataFrame expression.
@@ -14,10 +14,10 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from narrata.llm.common import PLAIN, let, plain_words, small
+from narrata.llm.common import BROADCAST_ROWS, PLAIN, let, plain_words, settle, small
 
 #: Phrases of the base labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -48,20 +48,39 @@ def least(size: Column, threshold: float) -> Column:
     return F.ceil(size * threshold - 1e-9).cast("int")
 
 
-def templates(spark: SparkSession, given: list[tuple[str, str]]) -> DataFrame:
-    """(template, label, tokens): one row a template, with its distinct words."""
-    rows = [(k, label, sorted(set(re.findall(PLAIN, text.lower())))) for k, (label, text) in enumerate(given)]
-    return spark.createDataFrame(rows, "template int, label string, tokens array<string>")
+def token_sets(given: list[tuple[str, str]]) -> list[list[str]]:
+    """The distinct words of each template."""
+    return [sorted(set(re.findall(PLAIN, text.lower()))) for _, text in given]
 
 
-def prefixes(docs: DataFrame, given: DataFrame, threshold: float) -> DataFrame:
+def surveyed(docs: DataFrame, given: list[tuple[str, str]]) -> DataFrame:
+    """One row a document, from one pass over its words: doc_id, text_key, n_words, spots of base phrases, and `set`,
+    the distinct words that some template has."""
+    vocabulary = sorted({w for tokens in token_sets(given) for w in tokens})
+    found = docs.select("doc_id", F.xxhash64("text").alias("text_key"), plain_words(F.col("text")).alias("words"))
+    spots = F.array(*[F.struct(F.lit(label).alias("label"), places(F.col("words"), p).alias("at")) for p, label in PHRASES.items()])
+    none = F.array().cast("array<struct<label: string, at: array<int>>>")
+    firsts = F.array(*[F.lit(p.split(" ")[1]) for p in PHRASES])
+    return settle(
+        found.select(
+            "doc_id",
+            "text_key",
+            F.size("words").cast("bigint").alias("n_words"),
+            F.when(F.arrays_overlap("words", firsts), F.filter(spots, lambda s: F.size(s["at"]) > 0)).otherwise(none).alias("spots"),
+            F.array_distinct(F.filter("words", lambda w: w.isin(vocabulary))).alias("set"),
+        )
+    )
+
+
+def prefixes(seen: DataFrame, given: list[tuple[str, str]], threshold: float) -> DataFrame:
     """(token, place, template, label, ordered, need): the prefix tokens of each template in global order.
 
-    Frequencies count every occurrence in all documents of the words that templates have; tasks sum before the shuffle.
+    Tokens are ordered by the number of documents that have them; tasks sum before the shuffle.
     """
-    vocabulary = sorted({w for row in given.select("tokens").collect() for w in row[0]})
-    seen = docs.select(F.explode(plain_words(F.col("text"))).alias("token")).where(F.col("token").isin(vocabulary)).groupBy("token").count()
-    order = given.select("template", "label", F.explode("tokens").alias("token")).join(F.broadcast(seen), "token", "left")
+    rows = [(k, label, tokens) for k, ((label, _), tokens) in enumerate(zip(given, token_sets(given), strict=True))]
+    own = seen.sparkSession.createDataFrame(rows, "template int, label string, tokens array<string>")
+    counts = seen.select(F.explode("set").alias("token")).groupBy("token").count()
+    order = own.select("template", "label", F.explode("tokens").alias("token")).join(F.broadcast(counts), "token", "left")
     ranked = order.groupBy("template", "label").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token"))).alias("t"))
     ranked = ranked.select("template", "label", F.col("t.token").alias("ordered")).withColumn("need", least(F.size("ordered"), threshold))
     return ranked.select("template", "label", "ordered", "need", F.posexplode(F.slice("ordered", F.lit(1), F.size("ordered") - F.col("need") + 1)).alias("place", "token"))
@@ -96,18 +115,25 @@ def blocks(low: Column, likely: str, longest: int) -> Column:
     return let(F.transform(F.split(low, "\n"), each), all_of)
 
 
-def matches(docs: DataFrame, given: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def matches(docs: DataFrame, given: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, seen: DataFrame | None = None) -> DataFrame:
     """(doc_id, text_key, line, template, label, containment): every block that reaches a template's threshold.
 
-    line is the first of the block. text_key is xxhash64 of the text, for documents of equal id. Null and empty texts have no blocks; equal rows give
-    one set of matches; other columns are not read; an empty table or template list gives an empty result.
+    line is the first of the block. text_key is xxhash64 of the text, for documents of equal id. Null and empty texts
+    have no blocks; equal rows give one set of matches; other columns are not read; an empty table or template list
+    gives an empty result. `seen` is the survey of the same documents, if there is one already: only documents that
+    have enough words of some template, anywhere, are cut in blocks.
     """
-    prefix = small(prefixes(docs, templates(docs.sparkSession, given), threshold))
+    seen = surveyed(docs, given) if seen is None else seen
+    prefix = small(prefixes(seen, given, threshold))
     wanted = sorted({row[0] for row in prefix.select("token").collect()})
     if not wanted:
         wanted = ["\x00"]
     around = r"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])(?:" + "|".join(map(re.escape, wanted)) + r")(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])"
-    low = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.lower("text").alias("low")).where(F.col("low").rlike(around))
+    enough = [F.size(F.array_intersect("set", F.lit(tokens))) >= least(F.lit(len(tokens)), threshold) for tokens in token_sets(given) if tokens]
+    keys = settle(seen.where(reduce(lambda a, b: a | b, enough, F.lit(False))).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct())
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+    own = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    low = own.join(keys, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k")), "left_semi").select("doc_id", "text_key", F.lower("text").alias("low"))
     longest = max(len(re.findall(PLAIN, text.lower())) for _, text in given) if given else 0
     found = low.select("doc_id", "text_key", F.explode(blocks(F.col("low"), around, longest)).alias("b"))
     sets = found.select("doc_id", "text_key", "b.line", F.array_distinct(plain_words(F.col("b.block"))).alias("set"))
@@ -132,17 +158,12 @@ def scan(docs: DataFrame, given: list[tuple[str, str]] = TEMPLATES, threshold: f
     """One row a document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score.
 
     score is 1 where a base phrase stands, else the largest containment of a template found, else 0. A null text
-    counts as empty: no words, no places, no labels. Equal rows are scanned alike and each keeps its row.
+    counts as empty: no words, no places, no labels. Equal rows are scanned alike and each keeps its row. Lower-casing
+    goes beyond A-Z; only the Kelvin sign and the dotted capital I become or begin with an ASCII letter by it, which
+    parts no word and makes none of the phrases.
     """
-    gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    likely = "|".join(p.replace(" ", gap) for p in PHRASES)
-    own = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.lower(F.coalesce("text", F.lit(""))).alias("low"))
-    own = own.withColumn("n_words", F.regexp_count("low", F.lit(PLAIN)).cast("bigint"))
-    words = F.when(F.col("low").rlike(likely), plain_words(F.col("low"))).otherwise(F.array().cast("array<string>"))
-    found = own.withColumn("words", words)
-    spots = F.array(*[F.struct(F.lit(label).alias("label"), places(F.col("words"), p).alias("at")) for p, label in PHRASES.items()])
-    found = found.withColumn("spots", F.filter(spots, lambda s: F.size(s["at"]) > 0)).withColumn("at", F.flatten(F.col("spots.at")))
-    base = found.select(
+    seen = surveyed(docs, given)
+    base = seen.withColumn("at", F.flatten(F.col("spots.at"))).select(
         "doc_id",
         "text_key",
         "n_words",
@@ -151,7 +172,7 @@ def scan(docs: DataFrame, given: list[tuple[str, str]] = TEMPLATES, threshold: f
         F.array_max("at").cast("bigint").alias("last_word"),
         F.array_sort(F.array_distinct(F.col("spots.label"))).alias("base"),
     )
-    hits = matches(docs, given, threshold).groupBy("doc_id", "text_key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("most"))
+    hits = matches(docs, given, threshold, seen).groupBy("doc_id", "text_key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("most"))
     hits = hits.withColumnRenamed("doc_id", "hit_id").withColumnRenamed("text_key", "hit_key")
     both = base.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & F.col("text_key").eqNullSafe(F.col("hit_key")), "left")
     labels = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))

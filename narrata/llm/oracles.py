@@ -79,8 +79,15 @@ docs AS (SELECT row_number() OVER () AS r, doc_id, lower(coalesce(text, '')) AS
 w AS (SELECT r, doc_id, low, regexp_extract_all(low, '{PLAIN}') AS ws FROM docs),
 spots AS (SELECT r, label, i - 1 AS spot FROM (SELECT r, ws, label, ps, unnest(range(1, len(ws) - len(ps) + 2)) AS i FROM w, phrases WHERE list_has_all(ws, ps)) WHERE ws[i:i + len(ps) - 1] = ps),
 base AS (SELECT r, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word, list(DISTINCT label) AS base FROM spots GROUP BY r),
-lines AS (SELECT DISTINCT r, regexp_extract_all(line, '{PLAIN}') AS b FROM docs, unnest(string_split(low, chr(10))) AS u(line)),
-found AS (SELECT r, label, len(list_intersect(list_distinct(b), ts)) / len(ts) AS share FROM lines, templates WHERE len(list_intersect(list_distinct(b), ts)) >= ceil(len(ts) * {licenses.THRESHOLD} - 1e-9)),
+wanted AS (SELECT t, label, len(ts) AS size, ceil(len(ts) * {licenses.THRESHOLD} - 1e-9) AS need, unnest(ts) AS token FROM templates),
+longest AS (SELECT max(len(regexp_extract_all(text, '{PLAIN}'))) AS most FROM (VALUES {given}) AS x(t, label, text)),
+likely AS (SELECT DISTINCT r FROM w, templates WHERE len(list_intersect(list_distinct(ws), ts)) >= ceil(len(ts) * {licenses.THRESHOLD} - 1e-9)),
+split AS (SELECT r, unnest(string_split(low, chr(10))) AS line, generate_subscripts(string_split(low, chr(10)), 1) AS i FROM docs WHERE r IN (SELECT r FROM likely)),
+lines AS (SELECT r, i, b, len(b) AS n, sum(len(b)) OVER (PARTITION BY r ORDER BY i) AS total, sum(CASE WHEN len(b) = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS gaps
+  FROM (SELECT r, i, regexp_extract_all(line, '{PLAIN}') AS b FROM split)),
+runs AS (SELECT x.r, x.i, y.i AS j FROM lines x JOIN lines y ON x.r = y.r AND x.gaps = y.gaps AND y.i >= x.i AND (y.i = x.i OR y.total - y.n - x.total <= (SELECT most FROM longest)) WHERE x.n > 0 AND y.n > 0),
+said AS (SELECT DISTINCT r, i AS j, unnest(b) AS token FROM lines),
+found AS (SELECT r, i, t, any_value(label) AS label, count(DISTINCT token) / any_value(size) AS share FROM runs JOIN said USING (r, j) JOIN wanted USING (token) GROUP BY r, i, t HAVING count(DISTINCT token) >= any_value(need)),
 more AS (SELECT r, list(DISTINCT label) AS more, max(share) AS most FROM found GROUP BY r)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   array_to_string(list_sort(coalesce(base, []::VARCHAR[])), ',') AS base_labels,
