@@ -39,13 +39,17 @@ def balance(rest: int, capacity: int, overlap: int = 1) -> list[int]:
     return [*sizes, rest]
 
 
-def batches(sizes: list[int], room: int, output_room: int, reserve: Callable[[list[int]], int], overlap: int = 1) -> list[tuple[int, int]]:
-    """(first, count) of batches that cover all items in order; neighbours share `overlap` items, the last two are evened."""
+def batches(sizes: list[int], room: int, output_room: int, reserve: Callable[[list[int]], int], overlap: int = 1, alone: bool = False) -> list[tuple[int, int]]:
+    """(first, count) of batches that cover all items in order; neighbours share `overlap` items, the last two are evened.
+
+    An item that fits no batch is an error, or goes alone if `alone` is set: split_overflow() halves it when it is sent.
+    """
     out, at = [], 0
     while at < len(sizes):
         n = fitting(sizes, at, room, output_room, reserve)
-        if not n:
+        if not n and not alone:
             raise ValueError(f"item {at} of {sizes[at]} tokens fits no batch")
+        n = max(n, 1)
         rest = len(sizes) - at - n
         if 0 < rest < n:
             halves = balance(n + rest - overlap, n, overlap)
@@ -59,12 +63,13 @@ def batches(sizes: list[int], room: int, output_room: int, reserve: Callable[[li
 
 
 def packed(frame: DataFrame, room: int, output_room: int, overlap: int = 1) -> DataFrame:
-    """(document_id, batch, id) for rows of document_id, idx, id and tokens: one document is one task's unit."""
+    """(document_id, batch, id) for rows of document_id, idx, id and tokens: one document is one task's unit; an item too
+    large for any batch is one of its own."""
 
     def work(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("idx")
         sizes = part.tokens.tolist()
-        rows = [(part.document_id.iloc[0], k, part.id.iloc[i]) for k, (first, n) in enumerate(batches(sizes, room, output_room, lambda s: sum(s) // 2, overlap)) for i in range(first, first + n)]
+        rows = [(part.document_id.iloc[0], k, part.id.iloc[i]) for k, (first, n) in enumerate(batches(sizes, room, output_room, lambda s: sum(s) // 2, overlap, alone=True)) for i in range(first, first + n)]
         return pd.DataFrame(rows, columns=["document_id", "batch", "id"])
 
     return frame.select("document_id", "idx", "id", "tokens").groupBy("document_id").applyInPandas(work, "document_id bigint, batch int, id bigint")

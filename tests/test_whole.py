@@ -87,3 +87,16 @@ def test_nearest_is_exact_after_the_filter(spark):
     ranked = sorted((-cosine(v, rows[0][1]), k) for k, v, d in rows if d == 1 and k in own)[:15]
     got = registry.QUERIES["v3_filtered_knn"](spark, SF).collect()
     assert ranked and sorted(r.id for r in got) == sorted(k for _, k in ranked)
+
+
+def test_items_too_large_for_a_batch_go_alone(spark):
+    from narrata.operators import packing as pk
+
+    sizes, half = [100, 9000, 100, 100, 9000, 9000, 100], lambda s: sum(s) // 2
+    got = pk.batches(sizes, 6000, 3000, half, alone=True)
+    assert {k for first, n in got for k in range(first, first + n)} == set(range(7))
+    assert all(n == 1 for first, n in got if any(sizes[k] == 9000 for k in range(first, first + n)))
+    with pytest.raises(ValueError):
+        pk.batches(sizes, 6000, 3000, half)
+    ids = {r.id for r in registry.QUERIES["c1_batch_packing"](spark, SF).collect()}
+    assert ids == {r.id for r in Model(spark, SF).texts.select("id").collect()}
