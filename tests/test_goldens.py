@@ -239,3 +239,36 @@ def test_phonetic_codes():
     for name, code in (pair.split() for pair in PHONETIC.split(", ")):
         assert primary_code(name) == primary_code(name.lower()) == code, name
     assert primary_code(None) == primary_code("") == primary_code("12 -") == ""
+
+
+def test_paths_of_any_length(spark):
+    edges = spark.createDataFrame([(k, k + 1, "CAUSES") for k in range(70)] + [(70, 60, "CAUSES"), (100, 100, "CAUSES"), (100, 101, "CAUSES"), (5, None, "CAUSES")], "src bigint, dst bigint, edge_type string")
+    starts = spark.createDataFrame([(0,), (65,), (100,), (101,), (999,), (0,)], "start bigint")
+    found = sorted((r.start, r.node) for r in gr.reachable(starts, edges).collect())
+    assert found == [(0, k) for k in range(1, 71)] + [(65, k) for k in range(60, 71)] + [(100, 100), (100, 101)]
+    assert {r.node for r in gr.reachable(starts.where("start = 0"), edges, 50).collect()} == set(range(1, 51))
+
+
+def test_cycles_of_any_length(spark):
+    edges = spark.createDataFrame([(k, k + 1, "CAUSES") for k in range(70)], "src bigint, dst bigint, edge_type string")
+    wanted = spark.createDataFrame([(1, 70, 0), (2, 0, 70), (3, 1, 0), (4, 9, 9), (5, 500, 0)], "id bigint, src bigint, dst bigint")
+    assert {r.id: r.cycle for r in gr.would_cycle(edges, wanted).collect()} == {1: True, 2: False, 3: True, 4: True, 5: False}
+
+
+def test_paths_against_brute_force(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(75)]
+    near = {a: {y for x, y in edges if x == a} for a in range(60)}
+    expected = set()
+    for a in range(60):
+        todo, seen = list(near[a]), set(near[a])
+        while todo:
+            fresh = near[todo.pop()] - seen
+            seen |= fresh
+            todo += fresh
+        expected |= {(a, b) for b in seen}
+    frame = spark.createDataFrame(edges, "src bigint, dst bigint")
+    every = spark.range(60).selectExpr("id AS start", "CAST(NULL AS BIGINT) AS node")
+    assert sorted(tuple(r) for r in gr.paths(frame.distinct(), every, 16).collect()) == sorted(expected)
+    asked = spark.createDataFrame([(a, b) for a in range(0, 60, 3) for b in range(60)], "start bigint, node bigint")
+    assert {tuple(r) for r in gr.paths(frame.distinct(), asked, 16).collect()} == {p for p in expected if p[0] % 3 == 0}
