@@ -33,6 +33,8 @@ BANDS, ROWS = 30, 5
 LEADERS = 4
 #: Rounds, at most, in which nodes of open buckets meet centres before the pairs that are left are compared.
 ROUNDS = 3
+#: Edges that the driver may join to components itself: 32 bytes each.
+FEW_EDGES = 20_000
 #: Shingles that the signature code holds in memory at a time; one longer document is taken alone.
 CHUNK = 400_000
 
@@ -156,12 +158,32 @@ def shingle_bag(found: Column) -> Column:
     return let(found, lambda w: F.when(F.size(w).between(1, 4), F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(shingles(w)))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def least_of_component(edges: list[tuple[bytes, bytes]]) -> dict[bytes, bytes]:
+    """The least node of each node's component, by union of sets."""
+    above: dict[bytes, bytes] = {}
+
+    def top(x: bytes) -> bytes:
+        while (up := above.setdefault(x, x)) != x:
+            above[x] = x = above.setdefault(up, up)
+        return x
+
+    for a, b in edges:
+        x, y = top(a), top(b)
+        above[max(x, y)] = min(x, y)
+    return {x: top(x) for x in list(above)}
+
+
+def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """(node, root) for every node of the edges (a, b): root is the least node of its component.
 
-    Labels fall to the least neighbour and jump to their label's label, so chains halve each round. Empty edges give
-    an empty result.
+    Labels fall to the least neighbour and jump to their label's label, so chains halve each round; at most `few` edges
+    are joined by the driver instead, which saves it the plans of those rounds. Empty edges give an empty result.
     """
+    edges = edges.select("a", "b")
+    if len(some := edges.limit(few + 1).toArrow()) <= few:
+        found = least_of_component(list(zip(*(some.column(k).to_pylist() for k in "ab"), strict=True)))
+        table = pa.table({"node": pa.array(list(found), pa.binary()), "root": pa.array(list(found.values()), pa.binary())})
+        return settle(edges.sparkSession.createDataFrame(table))
     both = settle(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = settle(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"))
     while True:

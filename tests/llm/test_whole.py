@@ -69,3 +69,18 @@ def test_items_that_repeat_themselves_are_found(spark):
     frame = spark.createDataFrame(table, "doc_id bigint, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.containment(frame, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
     assert (9999, 77) in expected and len(expected) == 181 and got == expected
+
+
+def test_components_of_few_and_of_many_edges(spark):
+    """The driver's union of sets and the rounds on executors name the same least nodes."""
+    import random
+
+    from narrata.llm import near_dedup
+
+    rng = random.Random(4)
+    name = lambda k: bytes([(k * 37) % 256] * 16)
+    pairs = [(bytearray(name(a)), bytearray(name(b))) for a, b in ((rng.randrange(80), rng.randrange(80)) for _ in range(45))] + [(bytearray(name(100 + k)), bytearray(name(101 + k))) for k in range(40)]
+    edges = spark.createDataFrame(pairs, "a binary, b binary")
+    few, many = ({bytes(r.node): bytes(r.root) for r in near_dedup.components(edges, n).collect()} for n in (1000, 3))
+    assert few == many and len(set(few.values())) > 3 and all(few[bytes(a)] == few[bytes(b)] for a, b in pairs)
+    assert near_dedup.components(edges.limit(0)).count() == 0
