@@ -272,3 +272,25 @@ def test_paths_against_brute_force(spark):
     assert sorted(tuple(r) for r in gr.paths(frame.distinct(), every, 16).collect()) == sorted(expected)
     asked = spark.createDataFrame([(a, b) for a in range(0, 60, 3) for b in range(60)], "start bigint, node bigint")
     assert {tuple(r) for r in gr.paths(frame.distinct(), asked, 16).collect()} == {p for p in expected if p[0] % 3 == 0}
+
+
+def test_cycles_that_one_edge_answers_are_settled_in_one_join(spark, monkeypatch):
+    edges = spark.createDataFrame([(1, 2, "CAUSES"), (1, 2, "ENABLES"), (2, 3, "CAUSES"), (3, 4, "LOCATED_AT"), (5, 6, "CAUSES")], "src bigint, dst bigint, edge_type string")
+    settled, whole = [], gr.settle
+    monkeypatch.setattr(gr, "settle", lambda frame: settled.append(frame) or whole(frame))
+    direct = spark.createDataFrame([(1, 2, 1), (2, 3, 2), (3, 7, 7), (4, None, 1), (1, 2, 1)], "id bigint, src bigint, dst bigint")
+    assert sorted(map(tuple, gr.would_cycle(edges, direct).collect())) == [(1, True), (1, True), (2, True), (3, True), (4, None)]
+    assert len(settled) == 1
+    further = direct.unionByName(spark.createDataFrame([(5, 3, 1), (6, 1, 3), (7, 4, 3)], direct.schema))
+    assert sorted(map(tuple, gr.would_cycle(edges, further).collect())) == [(1, True), (1, True), (2, True), (3, True), (4, None), (5, True), (6, False), (7, False)]
+
+
+def test_edges_are_the_same_with_parts_broadcast(spark):
+    from narrata.plans.relational import visible
+    from narrata.sources.model import Model
+
+    m = Model(spark, "/root/testdata/sf0.001")
+    plan = visible(m.near("part"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == 4 and not visible(m.near("part", rows=1))._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast")
+    key = lambda f: sorted(map(tuple, f.select("id", "src", "dst", "edge_type").collect()))
+    assert key(visible(m.near("part"))) == key(visible(m)) != []
