@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from narrata.llm.common import BROADCAST_ROWS, NEAR, let, plain_words, settle, shingles
+from narrata.llm.common import BROADCAST_ROWS, NEAR, SHINGLE, plain_words, settle
 
 #: A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8 ** 5) ** 30, which is 0.999993.
 BANDS, ROWS = 30, 5
@@ -35,8 +35,10 @@ LEADERS = 4
 ROUNDS = 3
 #: Edges that the driver may join to components itself: 32 bytes each.
 FEW_EDGES = 20_000
-#: Shingles that the signature code holds in memory at a time; one longer document is taken alone.
+#: Words that the signature code holds in memory at a time; one longer document is taken alone.
 CHUNK = 400_000
+#: An odd number: a shingle's hash is a polynomial of its words' hashes, mixed.
+MULTIPLIER = np.uint64(0x9FB21C651E98DF25)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -61,50 +63,83 @@ def bags(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def signatures(values: np.ndarray, lengths: np.ndarray, m: int) -> np.ndarray:
     """BagMinHash signatures, one row of m 64-bit numbers a document; documents without shingles get zeros."""
     doc, feature, count = bags(values, lengths)
-    when = np.full((len(lengths), m), np.inf)
-    what = np.zeros((len(lengths), m), dtype=np.uint64)
-    levels = np.ceil(np.log2(np.maximum(count, 1))).astype(np.int64) + 1
-    at = np.repeat(np.arange(len(doc)), levels)
-    level = np.arange(len(at)) - np.repeat(np.cumsum(levels) - levels, levels)
-    low = np.where(level == 0, 0, 2.0 ** (level - 1))
-    high = 2.0**level
-    seed = mix64(feature[at].astype(np.uint64) ^ mix64(level.astype(np.uint64)))
-    owner, most = doc[at], count[at]
-    time, turn = np.zeros(len(at)), 0
+    when, what = np.full((len(lengths), m), np.inf), np.zeros((len(lengths), m), dtype=np.uint64)
+    of = feature.astype(np.uint64)
+    # Every point of the first grid cell, (0, 1], counts: nearly all shingles have no other.
+    ended(when, what, m, of ^ mix64(np.zeros(1, dtype=np.uint64)), doc)
+    often = np.flatnonzero(count > 1)
+    levels = np.ceil(np.log2(count[often])).astype(np.int64)
+    at = np.repeat(often, levels)
+    level = np.arange(len(at)) - np.repeat(np.cumsum(levels) - levels, levels) + 1
+    low = 2.0 ** (level - 1)
+    ended(when, what, m, of[at] ^ mix64(level.astype(np.uint64)), doc[at], low, count[at])
+    return what
+
+
+def ended(when: np.ndarray, what: np.ndarray, m: int, seed: np.ndarray, owner: np.ndarray, low: np.ndarray | None = None, most: np.ndarray | None = None) -> None:
+    """Runs processes of documents (owner) to their ends, and keeps the earliest point of each component in when and what.
+
+    Processes are over (0, 1] with all points counting, or over (low, 2 low] with those of a weight below `most`.
+    """
+    seed, time, turn = mix64(seed), np.zeros(len(seed)), 0
+    first, points = when.reshape(-1), what.reshape(-1)
+    docs = np.unique(owner)
+    latest = np.full(len(when), np.inf)
     while len(owner):
         turn += 1
         r = mix64(seed + np.uint64(turn * 0xD1342543DE82EF95 % 2**64))
         u = ((r >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
-        time = time - np.log(u) / (m * (high - low))
-        live = time <= when.max(axis=1)[owner]
-        seed, owner, most, low, high, time, r = seed[live], owner[live], most[live], low[live], high[live], time[live], r[live]
+        time = time - np.log(u) / (m if low is None else m * low)
+        latest[docs] = when[docs].max(axis=1)
+        live = np.flatnonzero(time <= latest[owner])
+        if len(live) < len(owner):
+            seed, owner, time, r = seed[live], owner[live], time[live], r[live]
+            low, most = (None, None) if low is None else (low[live], most[live])
+            docs = docs[np.bincount(owner, minlength=len(when))[docs] > 0]
         s = mix64(r)
-        part = ((s & np.uint64(0xFFFFFFFF)) % np.uint64(m)).astype(np.int64)
-        weight = low + (high - low) * ((s >> np.uint64(32)).astype(np.float64) / 2.0**32)
-        hit = weight < most
-        o, p, t, v = owner[hit], part[hit], time[hit], r[hit]
-        order = np.lexsort((t, p, o))
-        o, p, t, v = o[order], p[order], t[order], v[order]
-        first = np.ones(len(o), dtype=bool)
-        first[1:] = (o[1:] != o[:-1]) | (p[1:] != p[:-1])
-        o, p, t, v = o[first], p[first], t[first], v[first]
-        earlier = t < when[o, p]
-        when[o[earlier], p[earlier]], what[o[earlier], p[earlier]] = t[earlier], v[earlier]
-    return what
+        cell = owner * m + ((s & np.uint64(0xFFFFFFFF)).astype(np.uint32) % np.uint32(m))
+        t, v = time, r
+        if low is not None:
+            hit = low + low * ((s >> np.uint64(32)).astype(np.float64) / 2.0**32) < most
+            cell, t, v = cell[hit], t[hit], v[hit]
+        near = np.flatnonzero(t < first[cell])
+        cell, t, v = cell[near], t[near], v[near]
+        np.minimum.at(first, cell, t)
+        won = t == first[cell]
+        points[cell[won]] = v[won]
 
 
 def chunks(column: pa.ListArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of documents of about CHUNK shingles: first, end, their shingles and how many each has."""
+    """Runs of documents, of lists of their words' hashes, of about CHUNK words: first, end, their shingles and how many
+    each has."""
     offsets = column.offsets.to_numpy()
-    values = column.values.to_numpy(zero_copy_only=False).view(np.int64)
+    values = column.values.to_numpy(zero_copy_only=False).view(np.uint64)
     first = 0
     while first < len(column):
         end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + CHUNK, "right")) - 1)
         end = min(end, len(column))
-        yield first, end, values[offsets[first] : offsets[end]], np.diff(offsets[first : end + 1])
+        yield first, end, *shingled(values[offsets[first] : offsets[end]], np.diff(offsets[first : end + 1]))
         first = end
 
 
+def shingled(words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the five-word shingles of documents, and how many each has; one to four words make one shingle of all."""
+    padded = np.append(words, np.zeros(SHINGLE - 1, dtype=np.uint64))
+    found = padded[: len(words)].copy()
+    for k in range(1, SHINGLE):
+        found *= MULTIPLIER
+        found += padded[k : k + len(words)]
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    kept = np.arange(len(words)) + (SHINGLE - 1) < np.repeat(ends, lengths)
+    for start, n in zip(*(x[(lengths > 0) & (lengths < SHINGLE)].tolist() for x in (starts, lengths)), strict=True):
+        value = n
+        for word in words[start : start + n].tolist():
+            value = (value * int(MULTIPLIER) + word) % 2**64
+        found[start], kept[start] = value, True
+    return mix64(found[kept]).view(np.int64), np.where(lengths < SHINGLE, np.minimum(lengths, 1), lengths - (SHINGLE - 1)).astype(np.int64)
+
+
 def list_column(batch: pa.RecordBatch, name: str) -> pa.ListArray:
     column = batch.column(name)
     return column.cast(pa.list_(pa.int64())) if not pa.types.is_list(column.type) else column
@@ -153,9 +188,9 @@ def node(found: Column) -> Column:
     return F.when(F.size(found) > 0, F.unhex(F.md5(F.array_join(found, " "))))
 
 
-def shingle_bag(found: Column) -> Column:
-    """Hashes of five-word shingles; a text of one to four words has one shingle of them all."""
-    return let(found, lambda w: F.when(F.size(w).between(1, 4), F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(shingles(w)))
+def word_hashes(found: Column) -> Column:
+    """Hashes of words in order; shingles are made of these in Python, so that a word is hashed once and not five times."""
+    return F.transform(found, lambda w: F.xxhash64(w))
 
 
 def least_of_component(edges: list[tuple[bytes, bytes]]) -> dict[bytes, bytes]:
@@ -284,7 +319,7 @@ def classes(docs: DataFrame, threshold: float = NEAR, bands: int = BANDS, rows:
     A text that is null or without words is in no group: it is its own class and kept. A null doc_id is the
     greatest; a group of null ids has class null. An empty table gives an empty result; other columns are not read.
     """
-    found = identified(docs).select("doc_id", "node", shingle_bag(F.col("words")).alias("h"))
+    found = identified(docs).select("doc_id", "node", word_hashes(F.col("words")).alias("h"))
     signed = settle(found.mapInArrow(band_rows(bands, rows), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node binary, n bigint, bands array<bigint>"))
     nodes = settle(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     every = nodes.select("node", "n", F.posexplode("bands").alias("band", "hash"))
@@ -295,7 +330,7 @@ def classes(docs: DataFrame, threshold: float = NEAR, bands: int = BANDS, rows:
     # By id first, so that words are cut only for the rows that are wanted; a row of the same id and other words drops out.
     own = docs.select(F.col("doc_id").alias("d"), "text").join(marked, F.col("d").eqNullSafe(F.col("least")))
     # The comparison waits for Python: in the plan it would become a join key and be computed for every row.
-    texts = own.select("node", plain_words(F.col("text")).alias("words")).select("node", node(F.col("words")).alias("own"), shingle_bag(F.col("words")).alias("h"))
+    texts = own.select("node", plain_words(F.col("text")).alias("words")).select("node", node(F.col("words")).alias("own"), word_hashes(F.col("words")).alias("h"))
     bag = settle(texts.mapInArrow(elements, "node binary, bag array<bigint>").groupBy("node").agg(F.first("bag").alias("bag")))
     near = F.least("n", "nx") >= threshold * F.greatest("n", "nx")
     ends = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]

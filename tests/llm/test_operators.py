@@ -667,3 +667,39 @@ def test_license_scan_matches_brute_force(docs):
         at = [i for i, _ in spots]
         expected[k, len(w), len(spots), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), score] += 1
     assert Counter(tuple(r) for r in got) == expected
+
+
+def test_shingles_of_words_by_their_definition():
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(0, 2**64, n, dtype=np.uint64) for n in (0, 1, 4, 5, 0, 6, 30, 3)]
+    found, lengths = near_dedup.shingled(np.concatenate(docs), np.array([len(d) for d in docs]))
+    expected = []
+    for d in docs:
+        windows = [d] if 0 < len(d) < 5 else [d[i : i + 5] for i in range(len(d) - 4)]
+        for window in windows:
+            value = 0 if len(window) == 5 else len(window)
+            for word in window.tolist():
+                value = (value * int(near_dedup.MULTIPLIER) + word) % 2**64
+            expected.append(value)
+    assert lengths.tolist() == [0, 1, 1, 1, 0, 2, 26, 1]
+    assert found.tolist() == near_dedup.mix64(np.array(expected, dtype=np.uint64)).view(np.int64).tolist()
+
+
+def test_signatures_are_the_earliest_points_of_all_processes():
+    """Every process run far past its end, one point at a time."""
+    m, steps, mix = 8, 60, lambda x: int(near_dedup.mix64(np.array([x % 2**64], dtype=np.uint64))[0])
+    bags = [[11, 11, 11, 11, 11, 12], [12], [], [13, 13, 14, 15]]
+    got = near_dedup.signatures(np.array(sum(bags, []), dtype=np.int64), np.array([len(b) for b in bags]), m)
+    for row, bag in zip(got.tolist(), bags, strict=True):
+        best = {}
+        for feature in set(bag):
+            for level in range(int(np.ceil(np.log2(bag.count(feature)))) + 1):
+                low, high = (0, 1) if level == 0 else (2 ** (level - 1), 2**level)
+                time, seed = 0.0, mix(feature ^ mix(level))
+                for turn in range(1, steps + 1):
+                    r = mix(seed + turn * 0xD1342543DE82EF95 % 2**64)
+                    time -= np.log(((r >> 11) + 0.5) / 2.0**53) / (m * (high - low))
+                    s = mix(r)
+                    if low + (high - low) * ((s >> 32) / 2.0**32) < bag.count(feature):
+                        best[(s & 0xFFFFFFFF) % m] = min(best.get((s & 0xFFFFFFFF) % m, (np.inf, 0)), (time, r))
+        assert row == [best[k][1] if bag else 0 for k in range(m)]
