@@ -21,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +34,8 @@ LEADERS = 4
 ROUNDS = 3
 #: Edges that the driver may join to components itself: 32 bytes each.
 FEW_EDGES = 20_000
+#: Ids that may be broadcast as single keys, at most: a hash table of some 100 MB. They are counted first.
+SINGLE_KEYS = 2_000_000
 #: Words that the signature code holds in memory at a time; one longer document is taken alone.
 CHUNK = 400_000
 #: An odd number: a shingle's hash is a polynomial of its words' hashes, mixed.
@@ -164,10 +165,8 @@ def band_rows(bands: int, rows: int):  # noqa: ANN201
 
 
 def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow: a bag as a set of distinct numbers, one for each shingle and each time it occurs, of rows whose
-    words are the node's."""
+    """For mapInArrow: a bag as a set of distinct numbers, one for each shingle and each time it occurs."""
     for batch in batches:
-        batch = batch.filter(pc.equal(batch.column("node"), batch.column("own")))
         for first, end, values, lengths in chunks(list_column(batch, "h")):
             doc, feature, count = bags(values, lengths)
             at = np.repeat(np.arange(len(doc)), count)
@@ -193,6 +192,20 @@ def word_hashes(found: Column) -> Column:
     return F.transform(found, lambda w: F.xxhash64(w))
 
 
+def parted(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of docs whose doc_id is among the ids (one column), and all others; nulls are equal.
+
+    Ids are broadcast up to SINGLE_KEYS of them, so that no text is shuffled; beyond that Spark joins by shuffle.
+    """
+    keys = settle(ids.toDF("_id").distinct())
+    some = F.col("_id").isNotNull()
+    known = keys.where(some)
+    known = F.broadcast(known) if known.count() <= SINGLE_KEYS else known
+    named, same = docs.where("doc_id is not null"), F.col("doc_id") == F.col("_id")
+    within, without, nameless = named.join(known, same, "left_semi"), named.join(known, same, "left_anti"), docs.where("doc_id is null")
+    return (within.unionByName(nameless), without) if keys.where(~some).head(1) else (within, without.unionByName(nameless))
+
+
 def least_of_component(edges: list[tuple[bytes, bytes]]) -> dict[bytes, bytes]:
     """The least node of each node's component, by union of sets."""
     above: dict[bytes, bytes] = {}
@@ -326,12 +339,12 @@ def classes(docs: DataFrame, threshold: float = NEAR, bands: int = BANDS, rows:
     shared = every.groupBy("band", "hash").agg(F.count("*").alias("c")).where("c > 1").drop("c")
     buckets = settle(every.join(shared, ["band", "hash"]))
     wanted = settle(buckets.select("node").distinct().join(nodes.select("node", "least"), "node"))
-    marked = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    # By id first, so that words are cut only for the rows that are wanted; a row of the same id and other words drops out.
-    own = docs.select(F.col("doc_id").alias("d"), "text").join(marked, F.col("d").eqNullSafe(F.col("least")))
-    # The comparison waits for Python: in the plan it would become a join key and be computed for every row.
-    texts = own.select("node", plain_words(F.col("text")).alias("words")).select("node", node(F.col("words")).alias("own"), word_hashes(F.col("words")).alias("h"))
-    bag = settle(texts.mapInArrow(elements, "node binary, bag array<bigint>").groupBy("node").agg(F.first("bag").alias("bag")))
+    # By id first, so that words are cut only for the rows that are wanted and no text is shuffled; other rows of an id
+    # that several texts share drop out by their nodes.
+    # No filter by node here: Spark would push it into the scan and find the words of every row.
+    texts = identified(parted(docs.select("doc_id", "text"), wanted.select("least"))[0]).select("node", word_hashes(F.col("words")).alias("h"))
+    bags_made = texts.mapInArrow(elements, "node binary, bag array<bigint>").groupBy("node").agg(F.first("bag").alias("bag"))
+    bag = settle(bags_made.join(wanted.select("node"), "node", "left_semi"))
     near = F.least("n", "nx") >= threshold * F.greatest("n", "nx")
     ends = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
     lead = buckets.groupBy("band", "hash").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node", F.col("band") % LEADERS)).alias("lead"))
@@ -360,14 +373,18 @@ def classes(docs: DataFrame, threshold: float = NEAR, bands: int = BANDS, rows:
 def filter_documents(docs: DataFrame, threshold: float = NEAR) -> DataFrame:
     """The documents kept, with their texts: one of each group; of equal rows of one id one stays.
 
-    Ids and nodes of dropped rows are joined back, broadcast if few; only rows whose (doc_id, words) occur twice
-    among the kept are shuffled with their texts.
+    Rows are parted by ids that have a dropped or repeated row. Most have none: these pass as they are, their words
+    unread. Only of the rest words are made and joined with what was found, and only rows whose (doc_id, words) occur
+    twice among the kept are always shuffled with their texts.
     """
     found = settle(classes(docs, threshold).where("node is not null").groupBy("doc_id", "node").agg(F.first("kept").alias("kept"), F.count("*").alias("c")).where("not kept or c > 1"))
     marks = found.select(F.col("doc_id").alias("_d"), F.col("node").alias("_k"), F.col("kept").alias("_kept"))
     marks = F.broadcast(marks) if found.count() <= BROADCAST_ROWS else marks
-    own = docs.select("doc_id", "text", "lang", "source", "n_chars").withColumn("_node", node(plain_words(F.col("text"))))
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    some, rest = parted(docs.select(*columns), found.select("doc_id"))
+    # Settled, or the filters of both branches would be pushed into the scan and find the words of every row.
+    own = settle(some.withColumn("_node", node(plain_words(F.col("text")))))
     joined = own.join(marks, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_node") == F.col("_k")), "left")
     single = joined.where("_kept is null")
     twice = joined.where("_kept").dropDuplicates(["doc_id", "_node"])
-    return single.unionByName(twice).select("doc_id", "text", "lang", "source", "n_chars")
+    return rest.unionByName(single.select(*columns)).unionByName(twice.select(*columns))

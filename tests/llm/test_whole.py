@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
-from narrata.llm import decontaminate, licenses, toxicity
+import pytest
+
+from narrata.llm import decontaminate, licenses, near_dedup, quality_rules, toxicity
 
 MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"
 BSD = "# Redistribution and use in source and binary forms, with or without\r\n# modification, are permitted provided that the following conditions\r\n# are met:"
@@ -84,3 +86,27 @@ def test_components_of_few_and_of_many_edges(spark):
     few, many = ({bytes(r.node): bytes(r.root) for r in near_dedup.components(edges, n).collect()} for n in (1000, 3))
     assert few == many and len(set(few.values())) > 3 and all(few[bytes(a)] == few[bytes(b)] for a, b in pairs)
     assert near_dedup.components(edges.limit(0)).count() == 0
+
+
+def test_texts_of_untouched_rows_are_read_once_and_never_shuffled(spark, monkeypatch):
+    """Beyond what may be broadcast with nodes, only rows whose ids were dropped are joined: no words are made in the plan
+    that filters, and the rows that stay whatever happens meet no shuffle."""
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = near_dedup.filter_documents(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "LeftAnti" in plan
+    assert "regexp_extract_all" not in quality_rules.filter_documents(docs)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_documents_with_null_and_shared_ids_are_parted_rightly(spark, monkeypatch, limit):
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(near_dedup, "SINGLE_KEYS", limit)
+    said = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(1, said(1)), (2, said(1)), (2, said(2)), (2, said(2)), (3, said(3)), (3, said(3)), (3, said(4)), (4, None), (4, None), (5, ""), (None, said(5)), (None, said(6)), (6, said(6)), (None, said(7)), (None, said(7)), (None, None), (7, said(8))]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    expected = [(1, said(1)), (2, said(2)), (3, said(3)), (3, said(4)), (4, None), (4, None), (5, ""), (None, said(5)), (6, said(6)), (None, said(7)), (None, None), (7, said(8))]
+    got = [(r.doc_id, r.text) for r in near_dedup.filter_documents(docs).collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    if limit:
+        assert near_dedup.filter_documents(docs.where("doc_id = 7")).count() == 1 and near_dedup.filter_documents(docs.where("doc_id is null")).count() == 4
